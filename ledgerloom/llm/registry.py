@@ -10,9 +10,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    from ledgerloom.llm import quality
+    from ledgerloom.llm import decontaminate, quality, sharding
 
     return {
+        "op6_decontaminate": decontaminate.query,
+        "op10_sharding": sharding.query,
         "op9_quality_rules": quality.query,
     }
 

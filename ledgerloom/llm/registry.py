@@ -10,14 +10,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    from ledgerloom.llm import decontaminate, quality, sharding
+    from ledgerloom.llm import chat, decontaminate, linededup, quality, sharding
 
     return {
+        "op4_line_dedup": linededup.query,
         "op6_decontaminate": decontaminate.query,
         "op10_sharding": sharding.query,
+        "op8_chat_formatting": chat.query,
         "op9_quality_rules": quality.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from ledgerloom.llm import chat, linededup
+
+    return {"op4_line_dedup": linededup.ORACLE, "op8_chat_formatting": chat.ORACLE}

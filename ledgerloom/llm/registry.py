@@ -10,9 +10,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    from ledgerloom.llm import chat, decontaminate, linededup, quality, sharding
+    from ledgerloom.llm import chat, decontaminate, linededup, packing, quality, sharding
 
     return {
+        "op3_best_fit_packing": packing.query,
         "op4_line_dedup": linededup.query,
         "op6_decontaminate": decontaminate.query,
         "op10_sharding": sharding.query,

@@ -10,9 +10,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    from ledgerloom.llm import chat, decontaminate, linededup, packing, quality, sharding
+    from ledgerloom.llm import chat, decontaminate, jaccard, linededup, packing, quality, sharding
 
     return {
+        "op1_jaccard_join": jaccard.query,
         "op3_best_fit_packing": packing.query,
         "op4_line_dedup": linededup.query,
         "op6_decontaminate": decontaminate.query,
@@ -23,6 +24,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from ledgerloom.llm import chat, linededup
+    from ledgerloom.llm import chat, jaccard, linededup
 
-    return {"op4_line_dedup": linededup.ORACLE, "op8_chat_formatting": chat.ORACLE}
+    return {"op1_jaccard_join": jaccard.ORACLE, "op4_line_dedup": linededup.ORACLE, "op8_chat_formatting": chat.ORACLE}

@@ -10,7 +10,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    from ledgerloom.llm import chat, decontaminate, jaccard, linededup, packing, quality, sharding
+    from ledgerloom.llm import chat, decontaminate, jaccard, linededup, packing, quality, sharding, suffixes
 
     return {
         "op1_jaccard_join": jaccard.query,
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op4_line_dedup": linededup.query,
         "op6_decontaminate": decontaminate.query,
         "op10_sharding": sharding.query,
+        "op7_suffix_dedup": suffixes.query,
         "op8_chat_formatting": chat.query,
         "op9_quality_rules": quality.query,
     }

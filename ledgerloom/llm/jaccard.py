@@ -251,8 +251,9 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return total.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * PERCENT).select("a", "b", "overlap")
 
 
-#: A pair can reach the similarity only if the shared shingles of each side could be the overlap.
-_ABLE = f"(100 + {PERCENT}) * least(ma, mb) >= {PERCENT} * (na + nb)"
+#: A pair can reach the similarity only if the overlap fits into what each side shares with any text, and, at the first
+#: common shingle of the global order, into what each side has left from there on.
+_ABLE = f"(100 + {PERCENT}) * least(ma, mb, na - pa, nb - pb) >= {PERCENT} * (na + nb)"
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -264,17 +265,17 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     gathered = written(counted.groupBy("part").applyInArrow(_gather, SETS), "sets")
     members = gathered.where(F.col("kind") == MEMBERS).select("doc_id", "class", "n")
     sets = gathered.where(F.col("kind") == SIZES)
-    postings = sets.select("class", "n", "m", F.explode("prefix").alias("code"))
-    rank = F.struct((F.col("m") / F.col("n")).alias("own"), F.col("class"), F.col("n"), F.col("m"))
-    leaders = postings.groupBy("code").agg(F.max(rank).alias("leader"), F.count("*").alias("times")).where("times > 1").select("code", "leader.class", "leader.n", "leader.m")
-    star = postings.select("code", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"))
-    star = leaders.withColumnsRenamed({"class": "a", "n": "na", "m": "ma"}).join(star, "code").where(f"a <> b and {_ABLE}").select("a", "b", "na", "nb").distinct()
+    postings = sets.select("class", "n", "m", F.posexplode("prefix").alias("i", "code")).select("class", "n", "m", (F.col("n") - F.col("m") + F.col("i")).alias("p"), "code")
+    rank = F.struct((F.col("m") / F.col("n")).alias("own"), F.col("class"), F.col("n"), F.col("m"), F.col("p"))
+    leaders = postings.groupBy("code").agg(F.max(rank).alias("leader"), F.count("*").alias("times")).where("times > 1").select("code", "leader.class", "leader.n", "leader.m", "leader.p")
+    star = postings.select("code", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("p").alias("pb"))
+    star = leaders.withColumnsRenamed({"class": "a", "n": "na", "m": "ma", "p": "pa"}).join(star, "code").where(f"a <> b and {_ABLE}").select("a", "b", "na", "nb").distinct()
     links = written(_overlaps(star, sets), "links")
     labels = components(links)
     marked = postings.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     open_ = marked.groupBy("code").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("code")
     rest = written(marked.join(open_, "code"), "open")
-    one, two = (rest.select("code", *(F.col(c).alias(d) for c, d in (("class", x), ("n", f"n{x}"), ("m", f"m{x}"), ("label", f"l{x}")))) for x in "ab")
+    one, two = (rest.select("code", *(F.col(c).alias(d) for c, d in (("class", x), ("n", f"n{x}"), ("m", f"m{x}"), ("p", f"p{x}"), ("label", f"l{x}")))) for x in "ab")
     across = one.join(two, "code").where(f"la < lb and {_ABLE}").select("a", "b", "na", "nb").distinct()
     tested = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = written(_overlaps(across.join(tested, ["a", "b"], "left_anti"), sets), "links")

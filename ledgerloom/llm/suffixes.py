@@ -10,8 +10,8 @@ never travels. Equal contexts are sent once, with their number.
 Each shard builds a suffix array over its contexts by two-stage sorting: only
 suffixes that are smaller than their successors are sorted directly; the others
 follow by one scan over the buckets of first bytes. Neighbours in the array
-whose common prefix reaches LENGTH are repeated strings. An anchor all of whose
-contexts are equal needs no sorting.
+whose common prefix reaches LENGTH are repeated strings. Contexts are cut to
+what they share with others before, and equal ones are one string.
 
 Texts are grouped first: equal texts are one text with a count, so a group of
 copies of any size costs one row per task. Anchors and strings are compared by
@@ -286,8 +286,48 @@ def repeated_strings(data: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
+def _reach(text: np.ndarray, anchor: np.ndarray, begin: np.ndarray, length: np.ndarray, step: int) -> np.ndarray:
+    """How far each string text[begin], text[begin + step] ... is common with the best other one of its anchor.
+
+    The strings of each anchor are sorted; the best is a neighbour.
+    """
+    n, width = len(anchor), max(1, int(length.max(initial=0)))
+    best = np.zeros(n, np.int64)
+    column = np.arange(width)
+    rows = np.zeros((n, width), np.uint8)  # bytes are moved up by one, so that 0 only pads
+    for a in range(0, n, 4096):
+        inside = column < length[a : a + 4096, None]
+        at = np.where(inside, begin[a : a + 4096, None] + step * column, 0)
+        rows[a : a + 4096] = np.where(inside, text[at] + np.uint8(1), 0)
+    order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
+    order = order[np.argsort(anchor[order], kind="stable")]
+    for a in range(0, n - 1, 4096):
+        one, two = order[a : a + 4096][: n - 1 - a], order[a + 1 : a + 4097]
+        same = (rows[one] == rows[two]) & (rows[one] > 0)
+        common = np.where(same.all(1), width, np.argmin(same, 1))
+        common[anchor[one] != anchor[two]] = 0
+        np.maximum.at(best, one, common)
+        np.maximum.at(best, two, common)
+    return best
+
+
+def _hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the spans, which lie in order, a stretch of text at a time."""
+    out = np.zeros(len(begin), np.uint64)
+    for own in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(begin // SHARD_BYTES)) + 1):
+        if len(own):
+            base = begin[own[0]]
+            out[own] = tk.span_hash(tk.prefix_hash(text[base : end[own].max()]), begin[own] - base, end[own] - base)
+    return out
+
+
 def _shard(group: pa.Table) -> pa.Table:
-    """Intervals (k, first, end) of repeated strings around the anchors of one fragment."""
+    """Intervals (k, first, end) of repeated strings around the anchors of one fragment.
+
+    Contexts are first cut to what they share with any other one of their
+    anchor, to the left and to the right; so those that are common only in
+    their middle become equal, or too short, however many they are.
+    """
     context, anchor = [], []
     for x in group["a"]:
         both = np.frombuffer(x.as_py(), "<u8")
@@ -301,35 +341,46 @@ def _shard(group: pa.Table) -> pa.Table:
     start = np.cumsum(head[:, 1]) - head[:, 1]
     name, one, place = np.unique(context, return_index=True, return_inverse=True)
     weight = np.bincount(place, head[:, 2]).astype(np.int64)
-    # in the order of anchors
-    one, weight, name = (x[np.argsort(anchor[one], kind="stable")] for x in (one, weight, name))
-    anchor, left, length, start = anchor[one], head[one, 0], head[one, 1], start[one]
-    strings = length - LENGTH + 1
-    new = np.append(True, anchor[1:] != anchor[:-1])
-    alone = new & np.append(new[1:], True)
-    first, end, owner = [np.zeros(len(one), np.int64)[weight > 1]], [length[weight > 1]], [np.flatnonzero(weight > 1)]
-    # the others, anchor by anchor, in shards of bounded size
-    rest = np.flatnonzero(~alone)
-    if len(rest):
-        size = length[rest] + 1
+    order = np.argsort(one)  # as the contexts lie in the text
+    name, one, weight = name[order], one[order], weight[order]
+    anchor, left, length, start = np.unique(anchor[one], return_inverse=True)[1], head[one, 0], head[one, 1], start[one]
+    right = length - left - GRAM
+    reach_right = np.where(weight > 1, right, _reach(text, anchor, start + left + GRAM, right, 1))
+    reach_left = np.where(weight > 1, left, _reach(text, anchor, start + left - 1, left, -1))
+    low, high = left - reach_left, left + GRAM + reach_right
+    long = np.flatnonzero(high - low >= LENGTH)
+    anchor, name, weight, start, low, high, reach_left = (x[long] for x in (anchor, name, weight, start, low, high, reach_left))
+    with np.errstate(over="ignore"):
+        cut = tk.mix(_hashes(text, start + low, start + high) + anchor.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + reach_left.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    _, model, of = np.unique(cut, return_index=True, return_inverse=True)
+    times = np.bincount(of, weight, len(model)).astype(np.int64)
+    twice = np.flatnonzero(times[of] > 1)
+    first, end, owner = [low[twice]], [high[twice]], [twice]
+    # what was cut alike by different neighbours, and so stands once: anchor by anchor, in shards of bounded size
+    single = np.zeros(int(anchor.max(initial=0)) + 1, bool)
+    single[anchor[model[times == 1]]] = True
+    several = np.bincount(anchor[model], minlength=len(single)) > 1
+    model = model[(single & several)[anchor[model]]]
+    model = model[np.argsort(anchor[model], kind="stable")]
+    if len(model):
+        size = high[model] - low[model] + 1
         shard = (np.cumsum(size) - size) // SHARD_BYTES
-        begins = np.flatnonzero(new[rest])
-        shard = np.repeat(shard[begins], np.diff(np.append(begins, len(rest))))
-        for own in np.split(rest, np.flatnonzero(np.diff(shard)) + 1):
-            data = np.full(int((length[own] + 1).sum()), 255, np.uint8)
-            base = np.cumsum(length[own] + 1) - length[own] - 1
-            data[tk.ranges(base, length[own])] = text[tk.ranges(start[own], length[own])]
+        begins = np.flatnonzero(np.append(True, anchor[model][1:] != anchor[model][:-1]))
+        shard = np.repeat(shard[begins], np.diff(np.append(begins, len(model))))
+        for own in np.split(model, np.flatnonzero(np.diff(shard)) + 1):
+            span = high[own] - low[own]
+            data = np.full(int((span + 1).sum()), 255, np.uint8)
+            base = np.cumsum(span + 1) - span - 1
+            data[tk.ranges(base, span)] = text[tk.ranges(start[own] + low[own], span)]
             wanted = np.zeros(len(data), bool)
-            at = tk.ranges(base, strings[own])
-            wanted[at] = True
+            wanted[tk.ranges(base, span - LENGTH + 1)] = True
             hit = np.flatnonzero(repeated_strings(data, wanted))
             c = np.searchsorted(base, hit, "right") - 1
-            _, a, b = tk.union_length(c, hit - base[c], hit - base[c] + LENGTH)
-            c = tk.union_length(c, hit - base[c], hit - base[c] + LENGTH)[0]
-            once = weight[own[c]] == 1
-            first.append(a[once])
-            end.append(b[once])
+            c, a, b = tk.union_length(c, hit - base[c], hit - base[c] + LENGTH)
+            once = times[of[own[c]]] == 1
             owner.append(own[c[once]])
+            first.append(low[owner[-1]] + a[once])
+            end.append(low[owner[-1]] + b[once])
     first, end, owner = np.concatenate(first), np.concatenate(end), np.concatenate(owner)
     # every place of a context has its intervals
     key = name[owner]

@@ -10,13 +10,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    from ledgerloom.llm import chat, decontaminate, jaccard, linededup, lm, packing, quality, sharding, suffixes
+    from ledgerloom.llm import chat, decontaminate, jaccard, licenses, linededup, lm, packing, quality, sharding, suffixes
 
     return {
         "op1_jaccard_join": jaccard.query,
         "op2_lm_scoring": lm.query,
         "op3_best_fit_packing": packing.query,
         "op4_line_dedup": linededup.query,
+        "op5_license_scan": licenses.query,
         "op6_decontaminate": decontaminate.query,
         "op10_sharding": sharding.query,
         "op7_suffix_dedup": suffixes.query,

@@ -56,6 +56,8 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
 
 
 def _part(value: np.ndarray, fragments: int) -> np.ndarray:
+    """Fragment of each hash; mixed again, as anchors have the smallest hashes of their strings."""
+    value = tk.mix(value)
     return ((value >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.uint16)
 
 

@@ -98,6 +98,10 @@ def scaled_quota_table(quotas: DataFrame, top: int) -> DataFrame:
     return left.select("tier", scaled.cast("long").alias("scaled"))
 
 
+def _of_tier(pool: Column, tier: str) -> Column:
+    return F.filter(pool, lambda c: c["tier"] == tier)
+
+
 def tiered(candidates: DataFrame, top: int, quotas: dict[str, int] = QUOTAS, lambdas: dict[str, float] = LAMBDAS, overall: float = GLOBAL_LAMBDA) -> DataFrame:
     """Per-tier picks in retrieval order, each tier on its own, then a global fill that compares with all picks: query_id, id, rank."""
     item = F.struct("id", "similarity", "vector", "tier")
@@ -105,7 +109,7 @@ def tiered(candidates: DataFrame, top: int, quotas: dict[str, int] = QUOTAS, lam
     quota = scaled_quotas(quotas, top)
     picks = F.filter("pool", lambda c: F.lit(False))
     for tier in RETRIEVAL_ORDER:
-        own = F.filter("pool", lambda c, tier=tier: c["tier"] == tier)
+        own = _of_tier(F.col("pool"), tier)
         none = F.filter("pool", lambda c: F.lit(False))
         picks = F.concat(picks, _pick(none, own, F.lit(quota.get(tier, 0)), lambdas.get(tier, 0.75)))
     pools = pools.withColumn("picks", picks)

@@ -317,6 +317,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     dev = blocks.where(F.col("fold") == DEV_FOLD).groupBy("block").cogroup(answers.where("deleted is not null").groupBy("block"))
     cells = dev.applyInArrow(_evidence(fragments, less_tokens, less_types, n_train), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     weight = learn(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(float), less_types)
+    if not tokens:
+        weight = np.eye(1, ORDER + 1).repeat(len(weight), 0)
     scored = blocks.groupBy("block").cogroup(answers.where("block >= 0").select("block", "part", "rank", "whole").groupBy("block"))
     out = scored.applyInArrow(_score(fragments, tokens, types, n_train + held.get(DEV_FOLD, 0), weight), RESULT)
     return out.withColumn("doc_id", key_back(F.col("doc_id")))

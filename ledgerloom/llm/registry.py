@@ -27,6 +27,12 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from ledgerloom.llm import chat, jaccard, linededup
+    from ledgerloom.llm import chat, decontaminate, jaccard, linededup, suffixes
 
-    return {"op1_jaccard_join": jaccard.ORACLE, "op4_line_dedup": linededup.ORACLE, "op8_chat_formatting": chat.ORACLE}
+    return {
+        "op1_jaccard_join": jaccard.ORACLE,
+        "op4_line_dedup": linededup.ORACLE,
+        "op6_decontaminate": decontaminate.ORACLE,
+        "op7_suffix_dedup": suffixes.ORACLE,
+        "op8_chat_formatting": chat.ORACLE,
+    }

@@ -481,3 +481,22 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLE = f"""
+WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT doc_id, i, md5(hex(b[i:i + {LENGTH - 1}])) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - {LENGTH - 2})) AS i FROM raw WHERE octet_length(b) >= {LENGTH})),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+runs AS (
+    SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS e
+    FROM (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > {LENGTH}, true) AS fresh FROM twice))
+    GROUP BY doc_id, run),
+gaps AS (
+    SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 1) AS a, a - 1 AS e FROM runs
+    UNION ALL SELECT doc_id, max(e), 1000000000 FROM runs GROUP BY doc_id
+    UNION ALL SELECT doc_id, 1, 1000000000 FROM raw WHERE doc_id NOT IN (SELECT doc_id FROM runs)),
+kept AS (SELECT doc_id, string_agg(CASE WHEN a <= e THEN hex(b[a:e]) ELSE '' END, '' ORDER BY a, e) AS h FROM gaps JOIN raw USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(e - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM raw JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""

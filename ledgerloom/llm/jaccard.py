@@ -43,7 +43,7 @@ WORDS = 5
 PERCENT = 80
 #: Vertical fragments in which the overlaps of candidate pairs are counted.
 OVERLAP_FRAGMENTS = 4
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 #: Rows of numbers: a block of one kind for one fragment or bucket.
 PACKED = "part int, kind int, a binary, b binary, c binary"

@@ -50,26 +50,32 @@ STATE = "block long, island int, lengths binary, bins int, cost double, places b
 
 
 @functools.cache
-def encoders(vocabulary: str, ranks: str):
-    """Both encoders of one vocabulary, loaded once by each worker."""
+def _whole(vocabulary: str):
+    """The tokenizer itself, loaded by a worker at the first text that needs it."""
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    whole.encode_special_tokens = True
+    out = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+    out.encode_special_tokens = True
+    return out
+
+
+@functools.cache
+def _latin(ranks: str):
+    import public_tokenizers
+    import tiktoken
+
     with open(public_tokenizers.path(ranks), "rb") as lines:
         merged = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return whole, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merged, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merged, special_tokens={})
 
 
 def token_ids(text: str, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> np.ndarray:
     """Token ids of a whole text, then END, as little-endian unsigned 32-bit numbers."""
-    whole, latin = encoders(vocabulary, ranks)
     if _OTHER_SCRIPT.search(text):
-        ids = np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4")
+        ids = np.asarray(_whole(vocabulary).encode(text, add_special_tokens=False).ids, "<u4")
     else:
-        ids = latin.encode_to_numpy(text, disallowed_special=())
+        ids = _latin(ranks).encode_to_numpy(text, disallowed_special=())
     out = np.empty(len(ids) + 1, "<u4")
     out[:-1], out[-1] = ids, END
     return out

@@ -14,8 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one kernel call looks at; arrays of 8 bytes per byte of text stay under 20 MB.
-BLOCK_BYTES = 1 << 21
+#: Bytes of text that one kernel call looks at; its arrays of 8 bytes per byte of text take 8 MB each.
+BLOCK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -135,8 +135,11 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     """p with p[j] - p[i] = sum of the hash terms of bytes i .. j - 1."""
     up, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
+    term = out[1:]  # in place: one array for any length
+    np.take(_BYTE, data, out=term)
     with np.errstate(over="ignore"):
-        np.cumsum(_BYTE[data] * up[:-1], out=out[1:])
+        np.multiply(term, up[:-1], out=term)
+        np.cumsum(term, out=term)
     return out
 
 

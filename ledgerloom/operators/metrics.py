@@ -81,3 +81,8 @@ def latest(rows: DataFrame, partition: str, order: str, n: int) -> DataFrame:
     """The n latest rows of each partition."""
     place = F.row_number().over(Window.partitionBy(partition).orderBy(F.desc(order)))
     return rows.withColumn("place", place).where(F.col("place") <= n).drop("place")
+
+
+def remaining(rows: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """Rows whose key the control table (key, status) doesn't have as completed: what a restart still has to do."""
+    return rows.join(state.where("status = 'completed'").select(key), key, "left_anti")

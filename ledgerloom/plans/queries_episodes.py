@@ -274,3 +274,10 @@ def text_cache_misses(spark: SparkSession, d: str) -> DataFrame:
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.concat("lang", (F.col("doc_id") % 50).cast("string")).alias("text"))
     cache = texts.where("pos % 4 = 0").select(F.sha2(F.concat(F.lit("r"), F.lit("\0"), F.col("text")), 256).alias("cache_key"), F.array(F.lit(1.0)).alias("embedding")).dropDuplicates(["cache_key"])
     return retrieval.cache_lookup(texts, cache, "r")[1].select("text")
+
+
+@query("resumable_kinds", "MS13", "SELECT lang AS kind, count(*) AS n FROM documents WHERE lang NOT IN ('en', 'de') GROUP BY lang")
+def resumable_kinds(spark: SparkSession, d: str) -> DataFrame:
+    kinds = examples(spark, d).groupBy("kind").agg(F.count("*").alias("n"))
+    state = spark.createDataFrame([("en", "completed"), ("de", "completed"), ("fr", "failed")], "kind string, status string")
+    return metrics.remaining(kinds, state, "kind")

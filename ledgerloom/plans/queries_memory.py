@@ -92,13 +92,41 @@ def retrieve_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_k(candidates(spark, d), 10).select("query_id", "id", "tier", F.round("similarity", 5).alias("similarity"), "rank")
 
 
-@query("retrieve_mmr", "TK2")
+POOL = "p AS (SELECT query_id, id, tier, vector, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS r FROM c) WHERE r <= 40)"
+NONE = "none AS (SELECT query_id, id, vector, 0 AS rank FROM p WHERE false)"
+
+
+def _picks(name: str, chosen: str, pool: str, n: int, weight: float) -> tuple[str, str]:
+    """Greedy picks as one table expression for each step; gives them and the name of the last."""
+    out = []
+    for step in range(n):
+        near = f"SELECT a.query_id, a.id, a.vector, a.similarity, max(list_cosine_similarity(a.vector, b.vector)) AS near, count(b.id) AS n FROM {pool} a LEFT JOIN {chosen} b ON a.query_id = b.query_id WHERE NOT EXISTS (FROM {chosen} x WHERE x.query_id = a.query_id AND x.id = a.id) GROUP BY ALL"
+        best = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {weight} * similarity - {1 - weight} * coalesce(near, 0) DESC, similarity DESC, id) AS r FROM ({near})"
+        out.append(f"{name}{step} AS (SELECT query_id, id, vector, rank FROM {chosen} UNION ALL SELECT query_id, id, vector, n + 1 FROM ({best}) WHERE r = 1)")
+        chosen = f"{name}{step}"
+    return ", ".join(out), chosen
+
+
+def _tiered_sql() -> str:
+    quotas, lambdas, parts, last = {"skill": 2, "tip": 2, "tool": 1, "trajectory": 1}, retrieval.LAMBDAS, [], []
+    for tier in k.RETRIEVAL_ORDER:
+        parts.append(f"pool_{tier} AS (SELECT * FROM p WHERE tier = '{tier}')")
+        steps, name = _picks(f"s_{tier}", "none", f"pool_{tier}", quotas[tier], lambdas[tier])
+        parts.append(steps)
+        last.append(name)
+    union = " UNION ALL ".join(f"SELECT query_id, id, vector, {i} AS phase, rank FROM {name}" for i, name in enumerate(last))
+    parts.append(f"picked AS (SELECT query_id, id, vector, row_number() OVER (PARTITION BY query_id ORDER BY phase, rank) AS rank FROM ({union}))")
+    steps, name = _picks("g", "picked", "p", 2, retrieval.GLOBAL_LAMBDA)
+    return f"WITH {ITEMS}, {SIMILAR}, {POOL}, {NONE}, {', '.join(parts)}, {steps} SELECT query_id, id, rank FROM {name}"
+
+
+@query("retrieve_mmr", "TK2", "WITH {}, {}, {}, {}, {} SELECT query_id, id, rank FROM {}".format(ITEMS, SIMILAR, POOL, NONE, *_picks("m", "none", "p", 5, 0.65)))
 def retrieve_mmr(spark: SparkSession, d: str) -> DataFrame:
     pool = retrieval.top_k(candidates(spark, d), 40)
     return retrieval.mmr(pool.select("query_id", "id", "similarity", "vector"), 5, 0.65)
 
 
-@query("retrieve_tiered", "TK3")
+@query("retrieve_tiered", "TK3", _tiered_sql())
 def retrieve_tiered(spark: SparkSession, d: str) -> DataFrame:
     pool = retrieval.top_k(candidates(spark, d), 40)
     return retrieval.tiered(pool.select("query_id", "id", "similarity", "vector", "tier"), 8, {"tip": 2, "skill": 2, "tool": 1, "trajectory": 1})
@@ -323,10 +351,22 @@ def embedding_cache(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("pos", "text", F.col("embedding").isNotNull().alias("hit"))
 
 
-@query("command_replay", "MUT7")
+def _listed(kinds: str, first: str, more: str) -> str:
+    both = f"SELECT {first} AS x WHERE kind IN ({kinds})" + (f" UNION ALL SELECT {more} WHERE kind IN ({kinds})" if more else "")
+    return f"SELECT batch, string_agg(x::VARCHAR, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT batch, x FROM c, LATERAL ({both})) GROUP BY batch"
+
+
+@query(
+    "command_replay",
+    "MUT7",
+    f"""WITH {ITEMS}, c AS (SELECT id % 7 AS batch, id, CASE WHEN id % 3 = 0 THEN 'lookup' WHEN id % 3 = 1 THEN 'merge' ELSE 'delete' END AS kind FROM items),
+    l AS ({_listed("'lookup'", "id", "id + 1")}), m AS ({_listed("'merge'", "id + 1000", "")}), u AS ({_listed("'merge', 'delete'", "id", "id + 1")})
+    SELECT batch, l.ids AS looked_up, m.ids AS created, u.ids AS updated FROM l JOIN m USING (batch) JOIN u USING (batch)""",
+)
 def command_replay(spark: SparkSession, d: str) -> DataFrame:
     rows = memory_items(spark, d).select((F.col("id") % 7).alias("batch"), F.col("id").alias("seq"), F.expr("CASE WHEN id % 3 = 0 THEN 'lookup' WHEN id % 3 = 1 THEN 'merge' ELSE 'delete' END").alias("kind"), F.array("id", F.col("id") + 1).alias("ids"), (F.col("id") + 1000).alias("new_id"))
-    return mutations.replayed(rows)
+    out = mutations.replayed(rows)
+    return out.select("batch", *(F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))).alias(c) for c in ("looked_up", "created", "updated")))
 
 
 @query("generation_commit", "MUT9", "SELECT 8 AS generation, true AS committed")

@@ -95,7 +95,7 @@ def json_repairs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", k.repaired_json(raw).alias("repaired"))
 
 
-@query("parsed_calls", "PRJ17")
+@query("parsed_calls", "PRJ17", """SELECT event_id, event_type AS name, '{"amount": ' || value || ', "note": "n", "tags": [1, 2]}' AS arguments FROM events""")
 def parsed_calls(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat("event_type", F.lit("(amount="), F.col("value").cast("string"), F.lit(", note='n', tags=[1, 2])"))
     return table(spark, d, "events").select("event_id", rendering.parsed_call(raw).alias("c")).select("event_id", "c.name", "c.arguments")
@@ -140,27 +140,34 @@ def trajectory_renders(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", F.sha2(rendering.trajectory_text(F.lit("c"), F.col("conv_id").cast("string"), F.lit("g"), F.col("steps"), F.lit("failure"), F.lit(0.0)), 256).alias("rendered_sha256"))
 
 
-@query("named_values", "PRJ21")
+@query("named_values", "PRJ21", "SELECT event_id, least('b', event_type) || ',' || greatest('b', event_type) AS names FROM events")
 def named_values(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.lit('{"name": "b", "x": [{"name": "'), F.col("event_type"), F.lit('"}, {"name": 3}], "y": '), "props", F.lit("}"))
-    return table(spark, d, "events").select("event_id", rendering.named_values(raw).alias("names"))
+    return table(spark, d, "events").select("event_id", F.array_join(rendering.named_values(raw), ",").alias("names"))
 
 
-@query("row_hashes", "PRJ23 PRJ24 EX6")
+ROW_HASH = """sha256('{"a":"é","props":{"k":' || json_extract_string(props, '$.k') || '},"z":1}')"""
+
+
+@query("row_hashes", "PRJ23 PRJ24 EX6", f"SELECT event_id, {ROW_HASH} AS row_sha256, 'opd_sel_' || substr({ROW_HASH}, 1, 24) AS example_id FROM events")
 def row_hashes(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.lit('{"z": 1, "props": '), "props", F.lit(', "a": "é"}'))
     digest = leakage.row_hash(raw)
     return table(spark, d, "events").select("event_id", digest.alias("row_sha256"), F.concat(F.lit("opd_sel_"), F.substring(digest, 1, 24)).alias("example_id"))
 
 
-@query("rendered_prompts", "PRJ31")
+@query("rendered_prompts", "PRJ31", """SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || '}' AS student, '{"k":' || json_extract_string(props, '$.k') || '}' || chr(10) || '{"v":' || event_id || '}' AS teacher FROM events""")
 def rendered_prompts(spark: SparkSession, d: str) -> DataFrame:
     public = leakage.canonical_json(F.col("props"))
     hindsight = leakage.canonical_json(F.concat(F.lit('{"v": '), F.col("event_id").cast("string"), F.lit("}")))
     return table(spark, d, "events").select("event_id", public.alias("student"), F.concat(public, F.lit("\n"), hindsight).alias("teacher"))
 
 
-@query("redacted_payloads", "PRJ26 SNK6")
+@query(
+    "redacted_payloads",
+    "PRJ26 SNK6",
+    """SELECT page_id, '{"inner":{"apiToken":"[REDACTED]","n":' || page_id || '},"url":"' || CASE WHEN regexp_matches(url, '^(?i:https?)://') AND (regexp_matches(url, '[?#].+') OR regexp_matches(url, '^[a-zA-Z]+://[^/?#]+@')) THEN '[REDACTED]' ELSE url END || '"}' AS payload FROM pages""",
+)
 def redacted_payloads(spark: SparkSession, d: str) -> DataFrame:
     raw = F.to_json(F.struct(F.col("url"), F.struct(F.lit("k").alias("apiToken"), F.col("page_id").alias("n")).alias("inner")))
     return table(spark, d, "pages").select("page_id", leakage.redacted(raw).alias("payload"))
@@ -190,7 +197,13 @@ def text_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.text_leaks(leak_texts(spark, d), "doc_id", "text")
 
 
-@query("payload_leaks", "LK1 LK2 LK4 MS7")
+@query(
+    "payload_leaks",
+    "LK1 LK2 LK4 MS7",
+    """SELECT event_id, '$.a.memoryValue' AS path, 'privileged_key' AS rule FROM events WHERE event_id % 4 = 0 UNION ALL SELECT event_id, '$.a.memoryValue', 'memory_key' FROM events WHERE event_id % 4 = 0
+    UNION ALL SELECT event_id, '$.x[0].nl_assertions', 'evaluator_key' FROM events WHERE event_id % 4 = 1 UNION ALL SELECT event_id, '$.x[1].Last.Used-At', 'privileged_key' FROM events WHERE event_id % 4 = 1
+    UNION ALL SELECT event_id, '$.text', 'memory_id' FROM events WHERE event_id % 4 = 2""",
+)
 def payload_leaks(spark: SparkSession, d: str) -> DataFrame:
     raw = F.expr("""CASE event_id % 4 WHEN 0 THEN '{"a": {"memoryValue": 1}}' WHEN 1 THEN '{"x": [{"nl_assertions": []}, {"Last.Used-At": "d"}]}' WHEN 2 THEN '{"text": "mem_tip_abc123"}' ELSE props END""")
     return leakage.payload_leaks(table(spark, d, "events").select("event_id", raw.alias("payload")), "event_id", "payload", public=True, act=True)

@@ -61,13 +61,19 @@ def first_seen(rows: DataFrame, key: str, position: str) -> DataFrame:
 def schedule(examples: DataFrame, epochs: int, seed: int, window: int) -> DataFrame:
     """Each example (kind, id) once per epoch in hashed order: epoch, kind, id, sequence_index, and the optimizer window of `window` examples.
 
-    The order is that of a digest, so an example's place needs only the sort of
-    its kind and epoch; each kind is a training run of its own.
+    The order is that of a digest. It is ranked in 4096 ranges of the digest for
+    each kind and epoch, so no task sorts a kind whole; the ranges' counts, of
+    bounded number, are summed in one ordered pass.
     """
     rows = examples.select("kind", "id", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     digest = F.sha2(F.concat_ws(":", F.lit(seed).cast("string"), F.col("epoch").cast("string"), "kind", F.col("id").cast("string")), 256)
-    place = F.row_number().over(Window.partitionBy("kind").orderBy("epoch", "digest", "id")) - 1
-    return rows.withColumn("digest", digest).withColumn("sequence_index", place).withColumn("window", F.floor(F.col("sequence_index") / window)).drop("digest")
+    rows = rows.withColumn("digest", digest).withColumn("range", F.substring("digest", 1, 3))
+    counts = rows.groupBy("kind", "epoch", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("kind").orderBy("epoch", "range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy("kind", "epoch", "range").orderBy("digest", "id")) - 1
+    out = rows.withColumn("place", place).join(counts, ["kind", "epoch", "range"]).withColumn("sequence_index", F.col("before") + F.col("place"))
+    return out.withColumn("window", F.floor(F.col("sequence_index") / window)).select("kind", "id", "epoch", "sequence_index", "window")
 
 
 def schedule_fingerprint(scheduled: DataFrame) -> DataFrame:

@@ -40,13 +40,21 @@ def write_errors(written: DataFrame, before: DataFrame, after: DataFrame) -> Dat
     return out.select("id", error.alias("error")).where("error is not null")
 
 
-def prior_counts(rounds: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Of each maintenance round (round, position) how many episodes (position) came up to it, and how many succeeded (reward 1), by one ordered pass."""
+def prior_counts(rounds: DataFrame, episodes: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """Of each maintenance round (round, position) how many episodes (position) came up to it, and how many succeeded (reward 1).
+
+    Running sums in two levels: positions are cut to ranges of `width`, each
+    summed on its own; only the ranges' totals are summed in one ordered pass.
+    """
     marks = rounds.select("position", F.col("round"), F.lit(0).alias("one"), F.lit(0).alias("good"))
     rows = episodes.select("position", F.lit(None).cast("long").alias("round"), F.lit(1).alias("one"), (F.col("reward") == 1.0).cast("int").alias("good"))
-    order = Window.orderBy("position").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    out = marks.unionByName(rows).withColumn("prior", F.sum("one").over(order)).withColumn("succeeded", F.sum("good").over(order))
-    return out.where("round is not null").select("round", "prior", "succeeded")
+    rows = marks.unionByName(rows).withColumn("range", F.floor(F.col("position") / width))
+    totals = rows.groupBy("range").agg(F.sum("one").alias("all_one"), F.sum("good").alias("all_good"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("range", *(F.coalesce(F.sum(f"all_{c}").over(before), F.lit(0)).alias(f"before_{c}") for c in ("one", "good")))
+    within = Window.partitionBy("range").orderBy("position").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.withColumn("prior", F.sum("one").over(within)).withColumn("succeeded", F.sum("good").over(within)).where("round is not null").join(totals, "range")
+    return out.select("round", (F.col("prior") + F.col("before_one")).alias("prior"), (F.col("succeeded") + F.col("before_good")).alias("succeeded"))
 
 
 def selection_view(candidates: DataFrame, scores: DataFrame, threshold: float = 0.01) -> DataFrame:

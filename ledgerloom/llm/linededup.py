@@ -104,7 +104,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with the text that is left and its n_chars; those of which no line is left go."""
     out = _cleaned(docs).where("__gone < __lines or __lines = 0")
-    new = {"text": F.col("__kept"), "n_chars": F.when(F.col("__gone") > 0, F.char_length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)}
+    new = {"text": F.col("__kept")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("__gone") > 0, F.char_length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
 

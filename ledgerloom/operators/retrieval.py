@@ -117,6 +117,63 @@ def tiered(candidates: DataFrame, top: int, quotas: dict[str, int] = QUOTAS, lam
     return pools.select("query_id", F.posexplode(filled).alias("pos", "c")).select("query_id", F.col("c.id").alias("id"), (F.col("pos") + 1).alias("rank"))
 
 
+def _round(candidates: DataFrame, picks: dict, quota: dict, weights: dict) -> list:
+    """The best further candidate of each (query_id, part), given all picks so far: one pass, one row for each."""
+    spark = candidates.sparkSession
+    kinds = dict(candidates.dtypes)
+    rows = [(q, part, [p.id for p in own], [p.vector for p in own]) for (q, part), own in picks.items()]
+    held = spark.createDataFrame(rows, f"query_id {kinds['query_id']}, part string, ids array<{kinds['id']}>, vectors array<array<double>>")
+    limits = spark.createDataFrame([(part, n, weights[part]) for part, n in quota.items()], "part string, quota int, weight double")
+    joined = candidates.join(F.broadcast(limits), "part").join(F.broadcast(held), ["query_id", "part"], "left")
+    joined = joined.where(F.coalesce(F.size("ids"), F.lit(0)) < F.col("quota")).where(~F.coalesce(F.array_contains("ids", F.col("id")), F.lit(False)))
+    near = F.coalesce(F.array_max(F.transform("vectors", lambda v: dot(v, F.col("vector")))), F.lit(0.0))
+    score = F.col("weight") * F.col("similarity") - (1 - F.col("weight")) * near
+    order = F.struct((-score).alias("a"), (-F.col("similarity")).alias("b"), F.col("id").alias("c"))
+    best = joined.groupBy("query_id", "part").agg(F.min_by(F.struct("id", "vector"), order).alias("p"))
+    return best.select("query_id", "part", "p.id", "p.vector").collect()
+
+
+def _greedy(candidates: DataFrame, quota: dict, weights: dict, picks: dict) -> dict:
+    """Rounds until every part has its quota or no candidate is left; picks: (query_id, part) to rows in order."""
+    for _ in range(max(quota.values(), default=0)):
+        found = _round(candidates, picks, quota, weights)
+        if not found:
+            break
+        for row in found:
+            picks.setdefault((row.query_id, row.part), []).append(row)
+    return picks
+
+
+def _as_ranks(candidates: DataFrame, picks: dict) -> DataFrame:
+    kinds = dict(candidates.dtypes)
+    rows = [(q, row.id, i + 1) for (q, _), own in picks.items() for i, row in enumerate(own)]
+    return candidates.sparkSession.createDataFrame(rows, f"query_id {kinds['query_id']}, id {kinds['id']}, rank int")
+
+
+def mmr_rounds(candidates: DataFrame, k: int, weight: float) -> DataFrame:
+    """`mmr` over any number of candidates (query_id, id, similarity, vector), without a pool.
+
+    Each pick is one pass over the candidates that ends in one row for each
+    query; what is broadcast and comes back is k picks of each query at most.
+    For more queries than QUERY_LIMIT call it block by block.
+    """
+    rows = candidates.withColumn("part", F.lit("all"))
+    return _as_ranks(candidates, _greedy(rows, {"all": k}, {"all": weight}, {}))
+
+
+def tiered_rounds(candidates: DataFrame, top: int, quotas: dict[str, int] = QUOTAS, lambdas: dict[str, float] = LAMBDAS, overall: float = GLOBAL_LAMBDA) -> DataFrame:
+    """`tiered` over any number of candidates (query_id, id, similarity, vector, tier): all tiers advance in the same rounds, then the global fill."""
+    quota = {t: n for t, n in scaled_quotas(quotas, top).items() if n > 0}
+    own = _greedy(candidates.withColumnRenamed("tier", "part"), quota, {t: lambdas.get(t, 0.75) for t in quota}, {})
+    whole: dict = {}
+    for tier in RETRIEVAL_ORDER:
+        for (q, part), rows in own.items():
+            if part == tier:
+                whole.setdefault((q, "all"), []).extend(rows)
+    rest = candidates.drop("tier").withColumn("part", F.lit("all"))
+    return _as_ranks(candidates, _greedy(rest, {"all": top}, {"all": overall}, whole))
+
+
 def cache_lookup(texts: DataFrame, cache: DataFrame, revision: str) -> tuple[DataFrame, DataFrame]:
     """Texts (pos, text) against a cache (cache_key, embedding): hits in input order (pos, text, embedding), and distinct misses (cache_key, text)."""
     keyed = texts.withColumn("cache_key", F.sha2(F.concat(F.lit(revision), F.lit("\0"), F.col("text")), 256))

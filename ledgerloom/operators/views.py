@@ -114,8 +114,10 @@ def tool_compatibility(candidates: DataFrame, registry: DataFrame) -> DataFrame:
     return out.select("id", "tool_name", reason.alias("reason"))
 
 
-def injected_tools(tools: DataFrame, memories: DataFrame, limit: int = 1600) -> DataFrame:
-    """Tools (tool_name, description) with the texts of their selected memories (tool_name, rank, text) appended in order, each cut."""
-    texts = memories.groupBy("tool_name").agg(F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, limit).alias("text")))).alias("own"))
+def injected_tools(tools: DataFrame, memories: DataFrame, limit: int = 1600, most: int = 3) -> DataFrame:
+    """Tools (tool_name, description) with the texts of their selected memories (tool_name, rank, text) appended in order: each cut, and as many as a selection may hold."""
+    place = F.row_number().over(Window.partitionBy("tool_name").orderBy("rank"))
+    chosen = memories.withColumn("place", place).where(F.col("place") <= most)
+    texts = chosen.groupBy("tool_name").agg(F.array_sort(F.collect_list(F.struct("place", F.substring("text", 1, limit).alias("text")))).alias("own"))
     joined = tools.join(texts, "tool_name", "left")
     return joined.select("tool_name", F.concat_ws("\n", "description", F.array_join(F.transform("own", lambda x: x["text"]), "\n")).alias("description"))

@@ -9,14 +9,14 @@ from ledgerloom.operators import audit, folding, metrics, retrieval
 from ledgerloom.plans.bindings import OBS, RUNS, observations, proposals, runs, table
 from ledgerloom.plans.registry import query
 
-# An event log: each user of a day is a task.
-LOG = """log AS (SELECT user_id AS task_id, CASE event_type WHEN 'signup' THEN 'EpisodeStarted' WHEN 'error' THEN 'MemoryDisabled' WHEN 'purchase' THEN 'EpisodeFinished' WHEN 'view' THEN 'DecisionMade' ELSE 'EnvironmentStepped' END AS kind,
-    event_id AS turn, CAST(value AS VARCHAR) AS payload FROM events WHERE event_id % 40 = user_id % 40)"""
+# An event log: five events in a row are a task.
+LOG = """log AS (SELECT event_id // 5 AS task_id, CASE event_type WHEN 'signup' THEN 'EpisodeStarted' WHEN 'error' THEN 'MemoryDisabled' WHEN 'purchase' THEN 'EpisodeFinished' WHEN 'view' THEN 'DecisionMade' ELSE 'EnvironmentStepped' END AS kind,
+    event_id AS turn, CAST(value AS VARCHAR) AS payload FROM events)"""
 
 
 def log(spark: SparkSession, d: str) -> DataFrame:
     kind = F.expr("CASE event_type WHEN 'signup' THEN 'EpisodeStarted' WHEN 'error' THEN 'MemoryDisabled' WHEN 'purchase' THEN 'EpisodeFinished' WHEN 'view' THEN 'DecisionMade' ELSE 'EnvironmentStepped' END")
-    return table(spark, d, "events").where("event_id % 40 = user_id % 40").select(F.col("user_id").alias("task_id"), kind.alias("kind"), F.col("event_id").alias("turn"), F.col("value").cast("string").alias("payload"))
+    return table(spark, d, "events").select(F.floor(F.col("event_id") / 5).alias("task_id"), kind.alias("kind"), F.col("event_id").alias("turn"), F.col("value").cast("string").alias("payload"))
 
 
 @query(
@@ -36,7 +36,7 @@ def failed_episodes(spark: SparkSession, d: str) -> DataFrame:
     return runs(spark, d).where("status = 'failed'").select("run_id", "task_id", F.lit(1).alias("schema_version"), "status", F.lit("environment").alias("stage"))
 
 
-STEPS = """a AS (SELECT conv_id, turn, CASE WHEN turn % 6 = 5 THEN 'x' ELSE role END AS action FROM conversations WHERE conv_id % 7 <> 3 OR turn <> 1), b AS (SELECT conv_id, turn, role AS action FROM conversations WHERE conv_id % 5 <> 2 OR turn <> 0)"""
+STEPS = """a AS (SELECT conv_id, turn + CASE WHEN conv_id % 7 = 3 AND turn = 1 THEN 1000 ELSE 0 END AS turn, CASE WHEN turn % 6 = 5 THEN 'x' ELSE role END AS action FROM conversations), b AS (SELECT conv_id, turn + CASE WHEN conv_id % 5 = 2 AND turn = 0 THEN 2000 ELSE 0 END AS turn, role AS action FROM conversations)"""
 
 
 @query(
@@ -48,8 +48,8 @@ STEPS = """a AS (SELECT conv_id, turn, CASE WHEN turn % 6 = 5 THEN 'x' ELSE role
 )
 def step_integrity(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations")
-    a = rows.where("conv_id % 7 <> 3 or turn <> 1").select("conv_id", "turn", F.expr("CASE WHEN turn % 6 = 5 THEN 'x' ELSE role END").alias("action"))
-    b = rows.where("conv_id % 5 <> 2 or turn <> 0").select("conv_id", "turn", F.col("role").alias("action"))
+    a = rows.select("conv_id", F.expr("turn + CASE WHEN conv_id % 7 = 3 AND turn = 1 THEN 1000 ELSE 0 END").alias("turn"), F.expr("CASE WHEN turn % 6 = 5 THEN 'x' ELSE role END").alias("action"))
+    b = rows.select("conv_id", F.expr("turn + CASE WHEN conv_id % 5 = 2 AND turn = 0 THEN 2000 ELSE 0 END").alias("turn"), F.col("role").alias("action"))
     return folding.step_integrity(a, b, ["conv_id"])
 
 
@@ -59,9 +59,9 @@ def dispositions(spark: SparkSession, d: str) -> DataFrame:
     return folding.disposition(ids, ids.where("id % 2 = 0"), ids.where("id % 3 = 0"), ids.where("id % 5 = 0"))
 
 
-@query("turn_contiguity", "TK12", "SELECT conv_id, count(*) AS rows, min(turn) = 0 AND count(DISTINCT turn) = count(*) AND max(turn) = count(*) - 1 AS contiguous FROM conversations WHERE conv_id % 9 <> 4 OR turn <> 1 GROUP BY conv_id")
+@query("turn_contiguity", "TK12", "WITH c AS (SELECT conv_id, turn + CASE WHEN conv_id % 9 = 4 AND turn = 1 THEN 50 ELSE 0 END AS turn FROM conversations) SELECT conv_id, count(*) AS rows, min(turn) = 0 AND count(DISTINCT turn) = count(*) AND max(turn) = count(*) - 1 AS contiguous FROM c GROUP BY conv_id")
 def turn_contiguity(spark: SparkSession, d: str) -> DataFrame:
-    return folding.contiguous(table(spark, d, "conversations").where("conv_id % 9 <> 4 or turn <> 1"), ["conv_id"], "turn")
+    return folding.contiguous(table(spark, d, "conversations").withColumn("turn", F.expr("turn + CASE WHEN conv_id % 9 = 4 AND turn = 1 THEN 50 ELSE 0 END")), ["conv_id"], "turn")
 
 
 @query(
@@ -244,7 +244,7 @@ def first_tasks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("bootstrap_interval", "AG18")
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    pairs = runs(spark, d).select(F.col("task_id").alias("id"), (F.col("reward") - 0.5).alias("difference")).where("id % 50 = 0")
+    pairs = runs(spark, d).select(F.col("task_id").alias("id"), (F.col("reward") - 0.5).alias("difference"))
     return metrics.bootstrap_interval(pairs, draws=200)
 
 

@@ -71,16 +71,16 @@ def attr_chronology(spark: SparkSession, d: str) -> DataFrame:
     return attribution.chronology_violations(observations(spark, d), creators(spark, d))
 
 
-ELIGIBLE = "status = 'active' AND NOT (polarity = 'caution' AND tier IN ('skill', 'tool')) AND revision = 'rev-0' AND id >= 8"
-SIMILAR = f"q AS (SELECT id AS query_id, vector AS qv FROM items WHERE id < 8), c AS (SELECT query_id, id, tier, vector, list_cosine_similarity(qv, vector) AS similarity FROM items, q WHERE {ELIGIBLE})"
+ELIGIBLE = "status = 'active' AND NOT (polarity = 'caution' AND tier IN ('skill', 'tool')) AND revision = 'rev-0'"
+SIMILAR = f"q AS (SELECT id AS query_id, vector AS qv FROM items WHERE id % 100 = 0), c AS (SELECT query_id, id, tier, vector, list_cosine_similarity(qv, vector) AS similarity FROM items, q WHERE {ELIGIBLE})"
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Eligible items with fresh vectors, scored for eight queries."""
+    """Eligible items with fresh vectors, scored for every hundredth item as a query."""
     items = memory_items(spark, d)
     ok = k.eligible(F.col("polarity"), F.col("tier")) & (F.col("status") == "active") & (F.col("revision") == "rev-0") & k.valid_vector(F.col("vector"), 64)
-    queries = items.where("id < 8").select(F.col("id").alias("query_id"), "vector")
-    return retrieval.scored(queries, items.where(ok & (F.col("id") >= 8)).select("id", "tier", "vector"))
+    queries = items.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+    return retrieval.scored(queries, items.where(ok).select("id", "tier", "vector"))
 
 
 @query(
@@ -92,7 +92,7 @@ def retrieve_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.top_k(candidates(spark, d), 10).select("query_id", "id", "tier", F.round("similarity", 5).alias("similarity"), "rank")
 
 
-POOL = "p AS (SELECT query_id, id, tier, vector, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS r FROM c) WHERE r <= 40)"
+POOL = "p AS (SELECT query_id, id, tier, list_transform(vector, lambda x: x / sqrt(list_dot_product(vector, vector))) AS vector, similarity FROM c)"
 NONE = "none AS (SELECT query_id, id, vector, 0 AS rank FROM p WHERE false)"
 
 
@@ -122,14 +122,12 @@ def _tiered_sql() -> str:
 
 @query("retrieve_mmr", "TK2", "WITH {}, {}, {}, {}, {} SELECT query_id, id, rank FROM {}".format(ITEMS, SIMILAR, POOL, NONE, *_picks("m", "none", "p", 5, 0.65)))
 def retrieve_mmr(spark: SparkSession, d: str) -> DataFrame:
-    pool = retrieval.top_k(candidates(spark, d), 40)
-    return retrieval.mmr(pool.select("query_id", "id", "similarity", "vector"), 5, 0.65)
+    return retrieval.mmr_rounds(candidates(spark, d).select("query_id", "id", "similarity", "vector"), 5, 0.65)
 
 
 @query("retrieve_tiered", "TK3", _tiered_sql())
 def retrieve_tiered(spark: SparkSession, d: str) -> DataFrame:
-    pool = retrieval.top_k(candidates(spark, d), 40)
-    return retrieval.tiered(pool.select("query_id", "id", "similarity", "vector", "tier"), 8, {"tip": 2, "skill": 2, "tool": 1, "trajectory": 1})
+    return retrieval.tiered_rounds(candidates(spark, d), 8, {"tip": 2, "skill": 2, "tool": 1, "trajectory": 1})
 
 
 QUOTA_ROWS = "(VALUES ('tip', 18), ('skill', 18), ('tool', 6), ('trajectory', 4)) AS t(tier, quota)"

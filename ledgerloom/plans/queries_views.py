@@ -175,11 +175,16 @@ def tool_compatibility(spark: SparkSession, d: str) -> DataFrame:
     return views.tool_compatibility(table(spark, d, "events").select(F.col("event_id").alias("id"), name.alias("tool_name"), arguments.alias("arguments")), registry)
 
 
-@query("injected_tools", "MS8", "SELECT source AS tool_name, 'about ' || source || chr(10) || string_agg(substr(text, 1, 20), chr(10) ORDER BY doc_id) AS description FROM documents WHERE doc_id < 60 GROUP BY source")
+@query(
+    "injected_tools",
+    "MS8",
+    """WITH r AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)
+    SELECT source AS tool_name, 'about ' || source || chr(10) || string_agg(substr(text, 1, 1600), chr(10) ORDER BY doc_id) AS description FROM r WHERE r <= 3 GROUP BY source""",
+)
 def injected_tools(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("doc_id < 60")
+    docs = table(spark, d, "documents")
     tools = docs.select(F.col("source").alias("tool_name")).distinct().withColumn("description", F.concat(F.lit("about "), "tool_name"))
-    return views.injected_tools(tools, docs.select(F.col("source").alias("tool_name"), F.col("doc_id").alias("rank"), "text"), 20)
+    return views.injected_tools(tools, docs.select(F.col("source").alias("tool_name"), F.col("doc_id").alias("rank"), "text"))
 
 
 @query("payload_violations", "MS10", "SELECT doc_id, unnest(CASE WHEN doc_id % 3 = 0 THEN ['blank'] ELSE [] END || CASE WHEN doc_id % 4 = 0 THEN ['order'] ELSE [] END || CASE WHEN doc_id % 5 = 0 THEN ['multi_step'] ELSE [] END || CASE WHEN doc_id % 7 = 0 THEN ['repeated_value'] ELSE [] END) AS rule FROM documents")

@@ -53,15 +53,21 @@ def test_mmr_matches_a_plain_loop(spark):
     rows = [(f"i{i:02}", "tip", rng.normal(size=6).tolist()) for i in range(25)]
     pool = candidates(spark, rows, rng.normal(size=6).tolist()).cache()
     plain = [(x.id, x.similarity, x.vector) for x in pool.collect()]
-    got = r.mmr(pool.select("query_id", "id", "similarity", "vector"), 8, 0.65).orderBy("rank").collect()
-    assert [x.id for x in got] == [c[0] for c in greedy(plain, [], 8, 0.65)]
+    want = [c[0] for c in greedy(plain, [], 8, 0.65)]
+    for form in (r.mmr, r.mmr_rounds):
+        got = form(pool.select("query_id", "id", "similarity", "vector"), 8, 0.65).orderBy("rank").collect()
+        assert [x.id for x in got] == want
+    assert r.mmr_rounds(pool, 99, 0.5).count() == 25
 
 
 def test_tiered_case_by_hand(spark):
     rows = [("tip-1", "tip", [1.0, 0.0]), ("tip-2", "tip", [0.99, 0.1]), ("tip-3", "tip", [0.8, 0.6]), ("skill-1", "skill", [0.9, 0.4])]
     pool = candidates(spark, rows).select("query_id", "id", "similarity", "vector", "tier")
-    got = r.tiered(pool, 3, {"tip": 2, "skill": 1}, {"tip": 0.3, "skill": 0.8}).orderBy("rank").collect()
-    assert [x.id for x in got] == ["skill-1", "tip-1", "tip-3"]
+    for form in (r.tiered, r.tiered_rounds):
+        got = form(pool, 3, {"tip": 2, "skill": 1}, {"tip": 0.3, "skill": 0.8}).orderBy("rank").collect()
+        assert [x.id for x in got] == ["skill-1", "tip-1", "tip-3"]
+        got = form(pool, 4, {"tip": 1, "skill": 1}).orderBy("rank").collect()
+        assert [x.id for x in got][:2] == ["skill-1", "tip-1"] and len(got) == 4
 
 
 @pytest.mark.parametrize("top", [1, 5, 25, 46, 50])

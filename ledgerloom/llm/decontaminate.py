@@ -23,7 +23,7 @@ repeated rows get repeated results; null ids stay null (as an item id: "").
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.llm import textkit as tk
 from ledgerloom.llm.runtime import documents, over_batches, table
@@ -45,7 +46,6 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
-_FOUND = "__spans array<long>, __items array<string>, __longest long"
 
 
 def _words(texts: tk.Texts) -> tuple[np.ndarray, tk.Words]:
@@ -198,23 +198,26 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
             yield [(r.name, r.text) for r in rows]
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Adds what every pass found, as columns that start with two underscores; a narrow job."""
-    types = dict(zip(("__spans", "__items", "__longest"), ("array<bigint>", "array<string>", "bigint")))
-    out = docs.select("*", F.expr("cast(array() as array<bigint>)").alias("__spans"), F.expr("cast(array() as array<string>)").alias("__items"), F.lit(0).cast("bigint").alias("__longest"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{k} {v}" for k, v in types.items())])
+def _searched(docs: DataFrame, benchmark: DataFrame, finish: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
+    """Every pass over the documents, and `finish` on what they found; the last pass and `finish` are one Python stage.
+
+    Between passes the findings are columns that start with two underscores.
+    """
+    empty = {"__spans": "cast(array() as array<bigint>)", "__items": "cast(array() as array<string>)", "__longest": "cast(0 as bigint)"}
+    types = {"__spans": "array<bigint>", "__items": "array<string>", "__longest": "bigint"}
+    out = docs.select("*", *(F.expr(e).alias(c) for c, e in empty.items()))
+    between = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{k} {v}" for k, v in types.items())])
+    last = None
     for rows in _blocks(benchmark):
-        out = over_batches(out, _annotate(test_set(rows)), schema)
-    return out
+        if last is not None:
+            out = over_batches(out, last, between)
+        last = _annotate(test_set(rows))
+    return over_batches(out, lambda batch: finish(last(batch) if last else batch), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The verdict on every document; columns as in RESULT."""
-
-    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch({"doc_id": batch.column("doc_id")} | _digest(batch))
-
-    return over_batches(annotate(documents(docs), benchmark), judge, RESULT)
+    return _searched(documents(docs), benchmark, lambda batch: pa.record_batch({"doc_id": batch.column("doc_id")} | _digest(batch)), RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,4 +252,4 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         clean = pa.compute.invert(_digest(batch)["contaminated"])
         return batch.select([c for c in batch.schema.names if not c.startswith("__")]).filter(clean)
 
-    return over_batches(annotate(docs, table(spark, sf_dir, "benchmark")), keep, docs.schema)
+    return _searched(docs, table(spark, sf_dir, "benchmark"), keep, docs.schema)

@@ -41,7 +41,7 @@ def _with_chunks(docs: DataFrame) -> DataFrame:
     def cuts(i: Column) -> Column:
         """Whether a chunk ends with line i, from 1."""
         before = F.when(i > 1, F.element_at("hashes", F.greatest(i - 1, F.lit(1)))).otherwise(F.lit(0))
-        return (F.element_at("hashes", i) * 31 + before) % (DIVISOR * 7919) % DIVISOR == 0
+        return (F.element_at("hashes", i) * 31 + before) % DIVISOR == 0
 
     n = F.size("lines")
     inner = F.filter(F.sequence(F.lit(1), n), lambda i: (i < n) & cuts(i))
@@ -117,7 +117,7 @@ lines AS (
     SELECT doc_id, text, pos, line, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h
     FROM (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {source} WHERE text IS NOT NULL)),
 marked AS (
-    SELECT *, coalesce((h * 31 + coalesce(lag(h) OVER w, 0)) % {DIVISOR * 7919} % {DIVISOR} = 0, false) AS ends FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    SELECT *, coalesce((h * 31 + coalesce(lag(h) OVER w, 0)) % {DIVISOR} = 0, false) AS ends FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 numbered AS (
     SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM marked),
 chunks AS (

@@ -42,7 +42,7 @@ from ledgerloom.llm.runtime import NULL_KEY, documents, key_back, parts, table,
 FOLDS, HELD_OUT, DEV = 7, 2, 3
 TRAIN_FOLD, DEV_FOLD, HELD_OUT_FOLD = range(3)
 ORDER = 3
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 KEY_BITS = 40
 #: Context frequencies 0, 1, 2-3, 4-7 ... and the last open.
 LEVELS = 14

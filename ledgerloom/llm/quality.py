@@ -31,7 +31,7 @@ from ledgerloom.llm.runtime import documents, over_batches, table
 BUCKETS = 1 << 16
 LABELS = 20_000
 #: A trusted row lost weighs as this many untrusted rows caught, as shares of their classes.
-TRUSTED_WEIGHT = 10
+TRUSTED_WEIGHT = 50
 GRAM = 4
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30

@@ -10,7 +10,7 @@ def chunks(text):
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
     out, start = [], 0
     for i in range(len(lines)):
-        cut = (h[i] * 31 + (h[i - 1] if i else 0)) % (linededup.DIVISOR * 7919) % linededup.DIVISOR == 0
+        cut = (h[i] * 31 + (h[i - 1] if i else 0)) % linededup.DIVISOR == 0
         if cut or i == len(lines) - 1:
             out.append((start, lines[start : i + 1]))
             start = i + 1

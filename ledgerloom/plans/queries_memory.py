@@ -57,13 +57,14 @@ def attr_memory_scores(spark: SparkSession, d: str) -> DataFrame:
     "attr_memory_facts",
     "AG4",
     f"""WITH {OBS}, {CREATORS}, allof AS (SELECT memory_id, tier, version, NULL::BIGINT AS c FROM obs UNION ALL SELECT o.memory_id, o.tier, 9, c.creator_index FROM obs o JOIN creators c USING (memory_id))
-    SELECT memory_id, min(tier) AS tier, array_to_string(list_sort(list_distinct(list(version))), ',') AS versions, min(c) AS creator_index, count(DISTINCT tier) = 1 AND count(DISTINCT c) <= 1 AS consistent FROM allof GROUP BY 1""",
+    SELECT memory_id, min(tier) AS tier, array_to_string(list_sort(list_distinct(list(version))), ',') AS versions, coalesce(min(c), -1) AS creator_index, count(DISTINCT tier) = 1 AND count(DISTINCT c) <= 1 AS consistent FROM allof GROUP BY 1""",
 )
 def attr_memory_facts(spark: SparkSession, d: str) -> DataFrame:
     obs = observations(spark, d)
     seen = obs.select("memory_id", "tier", "version", F.lit(None).cast("long").alias("creator_index"))
     made = obs.select("memory_id", "tier", F.lit(9).alias("version")).join(creators(spark, d), "memory_id")
-    return attribution.memory_facts(seen, made).withColumn("versions", F.concat_ws(",", F.transform("versions", lambda v: v.cast("string"))))
+    facts = attribution.memory_facts(seen, made).withColumn("versions", F.concat_ws(",", F.transform("versions", lambda v: v.cast("string"))))
+    return facts.withColumn("creator_index", F.coalesce("creator_index", F.lit(-1)))
 
 
 @query("attr_chronology", "AU4", f"WITH {OBS}, {CREATORS} SELECT memory_id, episode_index, creator_index FROM obs JOIN creators USING (memory_id) WHERE episode_index <= creator_index")

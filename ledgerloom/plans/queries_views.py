@@ -225,11 +225,11 @@ def set_coverage(spark: SparkSession, d: str) -> DataFrame:
     return audit.set_coverage(actual, table(spark, d, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("k")), "k")
 
 
-@query("evidence_union", "SET1 EV8", "SELECT 'episode' AS kind, conv_id AS key, count(*) AS turns, NULL::BIGINT AS round FROM conversations GROUP BY conv_id UNION ALL SELECT 'maintenance', range, NULL, range FROM range(20)")
+@query("evidence_union", "SET1 EV8", "SELECT 'episode' AS kind, conv_id AS key, count(*) AS turns, -1 AS round FROM conversations GROUP BY conv_id UNION ALL SELECT 'maintenance', range, -1, range FROM range(20)")
 def evidence_union(spark: SparkSession, d: str) -> DataFrame:
     episodes = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("key")).agg(F.count("*").alias("turns")).withColumn("kind", F.lit("episode"))
     rounds = spark.range(20).select(F.lit("maintenance").alias("kind"), F.col("id").alias("key"), F.col("id").alias("round"))
-    return episodes.unionByName(rounds, allowMissingColumns=True)
+    return episodes.unionByName(rounds, allowMissingColumns=True).fillna(-1, ["turns", "round"])
 
 
 @query("recompute_compare", "AU2", "WITH m AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT source, n, 'missing' AS side FROM m WHERE source IN ('src1', 'src2') UNION ALL SELECT source, n + 1, 'unexpected' FROM m WHERE source IN ('src1', 'src2')")

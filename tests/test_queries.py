@@ -1,6 +1,7 @@
 """All named queries run on the smallest tables; where SQL tells them, DuckDB agrees."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from ledgerloom.plans import catalog
@@ -12,9 +13,11 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def normal(frame):
     def value(v):
-        if v is None or v != v:
+        if pd.api.types.is_scalar(v) and pd.isna(v):
             return "none"
-        return f"{v + 0.0:.5f}" if isinstance(v, float) else str(v)
+        if isinstance(v, float):
+            return str(int(v)) if v == int(v) else f"{v:.5f}"
+        return str(v)
 
     return sorted(tuple(value(v) for v in row) for row in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 

@@ -179,11 +179,11 @@ def credential_urls(spark: SparkSession, d: str) -> DataFrame:
 
 
 CREDENTIAL = leakage.CREDENTIAL.replace("'", "''")
-LEAK_TEXT = """t AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'api_key=sk-secret-value' WHEN 1 THEN 'see mem_tip_abc123' WHEN 2 THEN 'history/evaluations/run-a' WHEN 3 THEN 'data/retail/test/tasks.json' WHEN 4 THEN 'Authorization: Bearer sk-secret-value' WHEN 5 THEN 'https://u:p@example.com/p' ELSE text END AS text FROM documents)"""
+LEAK_TEXT = """t AS (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'api_key=sk-secret-value' WHEN 1 THEN 'see mem_tip_abc123' WHEN 2 THEN 'history/evaluations/run-a' WHEN 3 THEN 'data/shop/test/tasks.json' WHEN 4 THEN 'Authorization: Bearer sk-secret-value' WHEN 5 THEN 'https://u:p@example.com/p' ELSE text END AS text FROM documents)"""
 
 
 def leak_texts(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.expr("CASE doc_id % 9 WHEN 0 THEN 'api_key=sk-secret-value' WHEN 1 THEN 'see mem_tip_abc123' WHEN 2 THEN 'history/evaluations/run-a' WHEN 3 THEN 'data/retail/test/tasks.json' WHEN 4 THEN 'Authorization: Bearer sk-secret-value' WHEN 5 THEN 'https://u:p@example.com/p' ELSE text END")
+    raw = F.expr("CASE doc_id % 9 WHEN 0 THEN 'api_key=sk-secret-value' WHEN 1 THEN 'see mem_tip_abc123' WHEN 2 THEN 'history/evaluations/run-a' WHEN 3 THEN 'data/shop/test/tasks.json' WHEN 4 THEN 'Authorization: Bearer sk-secret-value' WHEN 5 THEN 'https://u:p@example.com/p' ELSE text END")
     return table(spark, d, "documents").select("doc_id", raw.alias("text"))
 
 

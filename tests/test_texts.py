@@ -25,7 +25,7 @@ def test_step_text(spark):
 
 
 def test_task_groups(spark):
-    assert values(spark, k.task_group, ["RETAIL", " a.b:c-d ", "", "../retail", "retail group", None]) == ["retail", "a.b:c-d", None, None, None, None]
+    assert values(spark, k.task_group, ["SHOP", " a.b:c-d ", "", "../shop", "shop group", None]) == ["shop", "a.b:c-d", None, None, None, None]
 
 
 @pytest.mark.parametrize(
@@ -79,7 +79,7 @@ REJECTED = [
     ('{"v": "mem_tip_abc123"}', "memory_id"),
     ('{"memory_context": 1}', "memory_key"),
     ('{"p": "history/evaluations/run-a"}', "quarantined_path"),
-    ('{"p": "data/retail/test/tasks.json"}', "quarantined_path"),
+    ('{"p": "data/shop/test/tasks.json"}', "quarantined_path"),
     ('{"p": "split=test"}', "quarantined_path"),
 ]
 

@@ -134,13 +134,18 @@ def _round(candidates: DataFrame, picks: dict, quota: dict, weights: dict) -> li
 
 
 def _greedy(candidates: DataFrame, quota: dict, weights: dict, picks: dict) -> dict:
-    """Rounds until every part has its quota or no candidate is left; picks: (query_id, part) to rows in order."""
+    """Rounds until every part has its quota or no candidate is left; picks: (query_id, part) to rows in order.
+
+    The scored candidates are kept for the rounds; what an executor loses is computed again.
+    """
+    candidates = candidates.persist()
     for _ in range(max(quota.values(), default=0)):
         found = _round(candidates, picks, quota, weights)
         if not found:
             break
         for row in found:
             picks.setdefault((row.query_id, row.part), []).append(row)
+    candidates.unpersist()
     return picks
 
 

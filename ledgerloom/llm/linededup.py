@@ -12,6 +12,12 @@ the final join on the document, and for the byte comparison those of repeated
 chunks. Counts are combined before the shuffle, so a passage that all documents
 share is one row of each task.
 
+Chunks leave parts of a repeated passage behind: chunks of one line, and what
+stands before its first or after its last cut. `passage_dedup` has no such
+rest. It compares the windows of LEAST_LINES lines that start at every line, by
+the same digests, order and byte comparison, and removes all lines that lie in
+a window which occurred before; so a passage goes whole wherever it starts.
+
 Cases: a null text stays null with no lines; an empty text has one empty line;
 rows with equal id and text count as one document and are treated alike; null
 ids come first in order; an empty table gives no rows.
@@ -19,6 +25,8 @@ ids come first in order; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +58,13 @@ def _with_chunks(docs: DataFrame) -> DataFrame:
     return docs.withColumn("chunks", F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("first"), (e - s).alias("n"))))
 
 
+def _with_windows(docs: DataFrame) -> DataFrame:
+    """Adds lines, and chunks: all windows of LEAST_LINES lines, as (first line from 0, number of lines)."""
+    last = F.size("lines") - LEAST_LINES
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.struct(i.alias("first"), F.lit(LEAST_LINES).alias("n")))
+    return docs.withColumn("lines", F.split("text", "\n")).withColumn("chunks", F.filter(windows, lambda c: c["first"] <= last))
+
+
 def _chunk_text(chunk: Column) -> Column:
     return F.array_join(F.slice("lines", chunk["first"] + 1, chunk["n"]), "\n")
 
@@ -58,11 +73,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("*", key_of(F.col("doc_id").cast("long")).alias("__id"), F.xxhash64("text").alias("__hash"))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """Chunks to remove: __id, __hash of the document, and array `__ranges` of (first, n)."""
+def repeated(docs: DataFrame, chunked: Callable[[DataFrame], DataFrame] = _with_chunks) -> DataFrame:
+    """Chunks (or windows) to remove: __id, __hash of the document, and array `__ranges` of (first, n)."""
     keyed = _keyed(documents(docs)).where("text is not null").select("__id", "__hash", "text")
     multi = F.filter("chunks", lambda c: c["n"] >= LEAST_LINES)
-    places = _with_chunks(keyed).select("__id", "__hash", F.explode(F.transform(multi, lambda c: F.struct(F.unhex(F.md5(_chunk_text(c))).alias("digest"), c["first"].alias("first"), c["n"].alias("n")))).alias("c"))
+    places = chunked(keyed).select("__id", "__hash", F.explode(F.transform(multi, lambda c: F.struct(F.unhex(F.md5(_chunk_text(c))).alias("digest"), c["first"].alias("first"), c["n"].alias("n")))).alias("c"))
     places = written(places.select("__id", "__hash", "c.*"), "chunks").distinct()
     at = F.struct("__id", "__hash", "first")
     again = places.groupBy("digest").agg(F.min(at).alias("origin"), F.count("*").alias("times")).where("times > 1").drop("times")
@@ -75,11 +90,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     return gone.groupBy("__id", "__hash").agg(F.collect_set(F.struct("first", "n")).alias("__ranges"))
 
 
-def _cleaned(docs: DataFrame) -> DataFrame:
+def _cleaned(docs: DataFrame, chunked: Callable[[DataFrame], DataFrame] = _with_chunks) -> DataFrame:
     """The documents with the columns __gone (lines removed), __chunks, __lines and __kept (text that is left)."""
-    joined = _keyed(docs).join(repeated(docs).hint("shuffle_hash"), ["__id", "__hash"], "left")
+    joined = _keyed(docs).join(repeated(docs, chunked).hint("shuffle_hash"), ["__id", "__hash"], "left")
     lines = F.split("text", "\n")
-    gone = F.flatten(F.transform("__ranges", lambda c: F.sequence(c["first"] + 1, c["first"] + c["n"])))
+    gone = F.array_distinct(F.flatten(F.transform("__ranges", lambda c: F.sequence(c["first"] + 1, c["first"] + c["n"]))))
     kept = F.array_except(F.sequence(F.lit(1), F.size("__all")), F.col("__out"))
     text = F.array_join(F.transform(kept, lambda i: F.element_at("__all", i)), "\n")
     return joined.withColumn("__all", lines).withColumn("__out", gone).select(
@@ -101,6 +116,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_removed_lines, n_removed_passages (runs of removed lines), and text with what is left."""
+    out = _cleaned(documents(docs), _with_windows)
+    starts = F.size(F.array_except("__out", F.transform("__out", lambda i: i + 1)))
+    runs = F.when(F.col("__ranges").isNull(), F.lit(0)).otherwise(starts).cast("long")
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed_lines"), runs.alias("n_removed_passages"), F.col("__kept").alias("text"))
+
+
+def passage_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup(table(spark, sf_dir, "documents"))
+
+
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents with the text that is left and its n_chars; those of which no line is left go."""
     out = _cleaned(docs).where("__gone < __lines or __lines = 0")
@@ -132,3 +159,19 @@ cleaned AS (
 
 
 ORACLE = "WITH " + _oracle("documents").strip() + "\nSELECT * FROM cleaned"
+
+PASSAGE_ORACLE = f"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+windows AS (
+    SELECT doc_id, pos, string_agg(line, chr(10)) OVER w AS body, count(*) OVER w AS n FROM lines
+    WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {LEAST_LINES - 1} FOLLOWING)),
+again AS (
+    SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS k FROM windows WHERE n = {LEAST_LINES}) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + {LEAST_LINES})) AS pos FROM again),
+marked AS (SELECT l.*, g.pos IS NOT NULL AS gone FROM lines l LEFT JOIN gone g USING (doc_id, pos)),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS starts FROM marked)
+SELECT d.doc_id, count(r.pos) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed_lines, count(*) FILTER (WHERE starts) AS n_removed_passages,
+    CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') END AS text
+FROM documents d LEFT JOIN runs r USING (doc_id) GROUP BY d.doc_id
+"""

@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op7_suffix_dedup": suffixes.query,
         "op8_chat_formatting": chat.query,
         "op9_quality_rules": quality.query,
+        "op4_passage_dedup": linededup.passage_query,
     }
 
 
@@ -35,4 +36,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontaminate": decontaminate.ORACLE,
         "op7_suffix_dedup": suffixes.ORACLE,
         "op8_chat_formatting": chat.ORACLE,
+        "op4_passage_dedup": linededup.PASSAGE_ORACLE,
     }

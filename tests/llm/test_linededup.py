@@ -1,5 +1,7 @@
 import hashlib
 
+import duckdb
+
 from ledgerloom.llm import linededup
 from tests.llm.common import awkward, documents
 
@@ -69,3 +71,52 @@ def test_stage(spark):
 
 def test_empty(spark):
     assert linededup.line_dedup(documents(spark, [])).count() == 0
+
+
+def plain_passages(rows):
+    """Text left of each (id, text) once all windows of LEAST_LINES lines that stood before are gone; equal rows are one document."""
+    size, seen, left = linededup.LEAST_LINES, set(), {}
+    for doc, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        lines = text.split("\n") if text is not None else []
+        gone = set()
+        for i in range(len(lines) - size + 1):
+            window = tuple(lines[i : i + size])
+            if window in seen:
+                gone |= set(range(i, i + size))
+            seen.add(window)
+        left[doc, text] = None if text is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return sorted((str(d), str(left[d, t])) for d, t in rows)
+
+
+def test_passages_awkward(spark):
+    rows = [(r[0], r[1]) for r in awkward() if r[0] != 3]
+    passage = "\n".join(f"shared line {i}" for i in range(40))
+    rows += [(20 + i, f"own start {i}\n{passage}\nown end {i}") for i in range(30)] + [(60, "\n\n\n\n"), (61, "a\nb\na\nb\nc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = linededup.passage_dedup(docs)
+    assert pairs(got) == plain_passages(rows)
+    by = {r.doc_id: r for r in got.collect()}
+    assert all(by[20 + i].text == f"own start {i}\nown end {i}" and by[20 + i].n_removed_passages == 1 for i in range(1, 30))
+    assert by[61].text == "a\nb\nc" and by[61].n_removed_lines == 2
+
+
+def test_passages_leave_nothing_of_a_copy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = linededup.passage_dedup(docs)
+    assert pairs(got) == plain_passages(rows)
+    left, seen, copies = {r.doc_id: r for r in got.collect()}, set(), []
+    for d, t in sorted(rows):
+        if t and "\n" in t:
+            copies += [d] * (t in seen)
+            seen.add(t)
+    assert copies and all(left[d].text == "" and left[d].n_lines == left[d].n_removed_lines for d in copies)
+
+
+def test_passages_in_sql(spark):
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = con.sql(linededup.PASSAGE_ORACLE).fetchall()
+    got = linededup.passage_query(spark, "/root/testdata/sf0.01")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert linededup.passage_dedup(documents(spark, [])).count() == 0

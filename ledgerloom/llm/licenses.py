@@ -3,8 +3,9 @@
 Templates are cut to words; of each window of WINNOW word grams the smallest
 hash is kept, and an inverted index maps it to templates and places. All word
 grams of a document are looked up in the index. Hits on a template that lie on
-neighbouring diagonals make a candidate region, and a banded alignment of the
-region with the template (match 1, mismatch and gap -1, local) reports which
+neighbouring diagonals make a candidate region. Regions that can't match (too few of their words are in the template,
+or too few of the template's words lie within the band) are left out; for the
+others a banded alignment of the region with the template (match 1, mismatch and gap -1, local) reports which
 template words are matched, the share of them, and the words and characters
 that the match spans.
 
@@ -18,6 +19,7 @@ get repeated results; an empty table gives no rows.
 
 from __future__ import annotations
 
+import pkgutil
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -33,7 +35,17 @@ GRAM, WINNOW, BAND = 3, 4, 8
 LEAST_COVERAGE = 0.8
 MAX_BYTES = 16 << 20
 
-#: The notices that the scan looks for; any other list can be given.
+#: Licenses whose whole text, without the copyright line and appendices, lies in license_texts; each is the template `<name>-text`.
+TEXTS = [
+    *("Apache-2.0", "Artistic-1.0-Perl", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-SA-4.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0"),
+    *("GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-1.1", "MPL-2.0", "Unlicense"),
+]
+_GNU = (
+    "is free software; you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation; "
+    "either version {1} of the License, or (at your option) any later version."
+)
+
+#: The notices and licenses that the scan looks for; any other list can be given. A name without -text is a notice or one sentence of the license.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -45,7 +57,27 @@ TEMPLATES = [
         "to deal in the Software without restriction",
     ),
     ("Apache-2.0-header", "You may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    (
+        "Apache-2.0-file-header",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy '
+        "of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the "
+        'License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific '
+        "language governing permissions and limitations under the License.",
+    ),
+    ("GPL-2.0-header", "This program " + _GNU.format("General Public License", 2)),
+    ("GPL-3.0-header", "This program " + _GNU.format("General Public License", 3)),
+    ("AGPL-3.0-header", "This program " + _GNU.format("Affero General Public License", 3)),
+    ("LGPL-2.1-header", "This library " + _GNU.format("Lesser General Public License", 2.1)),
+    ("LGPL-3.0-header", "This library " + _GNU.format("Lesser General Public License", 3)),
+    (
+        "MPL-2.0-header",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    ("CC-BY-4.0-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0-notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    *((f"{name}-text", pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()) for name in TEXTS),
 ]
 
 _SEPARATOR = np.ones(256, bool)
@@ -61,6 +93,9 @@ class Index:
     gram: np.ndarray
     template: np.ndarray
     place: np.ndarray
+    vocabulary: np.ndarray
+    #: For each template, which words of the vocabulary it holds, and False for all other words.
+    member: list[np.ndarray]
 
 
 def _words(texts: tk.Texts) -> tuple[np.ndarray, tk.Words]:
@@ -80,7 +115,7 @@ def winnow(gram: np.ndarray, window: int = WINNOW) -> np.ndarray:
 def index_of(templates: Sequence[tuple[str, str]]) -> Index:
     if sum(len(t.encode()) for _, t in templates) > MAX_BYTES:
         raise ValueError("the templates are larger than what may be sent to every task")
-    out = Index([], [], np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    out = Index([], [], np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), [])
     for name, text in templates:
         hashes, _ = _words(tk.texts_of(pa.array([text], pa.large_string())))
         if not len(hashes):
@@ -95,9 +130,25 @@ def index_of(templates: Sequence[tuple[str, str]]) -> Index:
         out.words.append(hashes)
     order = np.argsort(out.gram, kind="stable")
     out.gram, out.template, out.place = out.gram[order], out.template[order], out.place[order]
+    out.vocabulary = np.unique(np.concatenate([out.vocabulary, *out.words]))
+    out.member = [np.append(np.isin(out.vocabulary, w), False) for w in out.words]
     return out
 
 
+def _able(doc: np.ndarray, template: np.ndarray, diagonal: np.ndarray, hashes: np.ndarray, words: tk.Words, index: Index) -> np.ndarray:
+    """Which hits lie in a region with enough words of their template; only words that it holds can be matched."""
+    code = np.minimum(np.searchsorted(index.vocabulary, hashes), len(index.vocabulary) - 1)
+    code = np.where(index.vocabulary[code] == hashes, code, len(index.vocabulary))
+    size = np.asarray([len(w) for w in index.words])
+    low, high = np.maximum(words.first[doc], diagonal - BAND), np.minimum(words.first[doc + 1], diagonal + size[template] + BAND)
+    able = high - low >= LEAST_COVERAGE * size[template]
+    for t in np.unique(template[able]).tolist():
+        own = np.flatnonzero(able & (template == t))
+        known = np.append(0, np.cumsum(index.member[t][code]))
+        able[own] = known[high[own]] - known[low[own]] >= LEAST_COVERAGE * size[t]
+    return able
+
+
 def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> tuple[int, int, int, int]:
     """Best local alignment whose diagonal (text place - template place) is within `band` of `shift`.
 
@@ -128,6 +179,16 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND)
     return best
 
 
+def _within(model: np.ndarray, text: np.ndarray, shift: int, band: int = BAND) -> int:
+    """Template words that some text word within the band equals: no alignment there matches more."""
+    near = np.zeros(len(model), bool)
+    for s in range(shift - band, shift + band + 1):
+        i, end = max(0, -s), min(len(model), len(text) - s)
+        if i < end:
+            near[i:end] |= model[i:end] == text[i + s : end + s]
+    return int(near.sum())
+
+
 def scan(texts: tk.Texts, index: Index) -> list[tuple[int, int, float, int, int, int, int, int]]:
     """(document, template, coverage, matched words, first and end word, first and end character) of each match."""
     hashes, words = _words(texts)
@@ -142,7 +203,9 @@ def scan(texts: tk.Texts, index: Index) -> list[tuple[int, int, float, int, int,
         low, high = np.searchsorted(index.gram, gram[at], "left"), np.searchsorted(index.gram, gram[at], "right")
         count = high - low
         hit, place = tk.ranges(low, count), np.repeat(at, count)
-        found |= set(zip(words.doc[place].tolist(), index.template[hit].tolist(), (place - index.place[hit]).tolist()))
+        doc, template, diagonal = words.doc[place], index.template[hit], place - index.place[hit]
+        able = _able(doc, template, diagonal, hashes, words, index)
+        found |= set(zip(doc[able].tolist(), template[able].tolist(), diagonal[able].tolist()))
     out = []
     point = None
     ends: dict[tuple[int, int], int] = {}
@@ -152,6 +215,8 @@ def scan(texts: tk.Texts, index: Index) -> list[tuple[int, int, float, int, int,
             continue  # another hit on a match that is known
         a = max(int(words.first[doc]), diagonal - BAND, ends.get((doc, template), 0))
         b = min(int(words.first[doc + 1]), diagonal + len(model) + BAND)
+        if _within(model, hashes[a:b], diagonal - a) < LEAST_COVERAGE * len(model):
+            continue
         _, matched, first, end = align(model, hashes[a:b], diagonal - a)
         if matched < LEAST_COVERAGE * len(model):
             continue

@@ -63,3 +63,27 @@ def test_winnowed_places_cover_every_window():
     at = licenses.winnow(gram)
     assert all(any(i <= a < i + licenses.WINNOW for a in at) for i in range(len(gram) - licenses.WINNOW + 1))
     assert licenses.index_of([("a", "b c d e")]).names == ["a"] and pa.__version__
+
+
+def test_whole_texts_are_found(spark):
+    texts = {n: t for n, t in licenses.TEMPLATES if n.endswith("-text")}
+    assert len(texts) == len(licenses.TEXTS)
+    rows = [(i, f"own words first\n\nCopyright (c) 2020 A. Body\n\n{t}\nown words after", "en", "s", 1) for i, t in enumerate(texts.values())]
+    got = licenses.license_scan(documents(spark, rows)).collect()
+    for i, (n, t) in enumerate(texts.items()):
+        assert [r.coverage for r in got if r.doc_id == i and r.license == n] == [1.0], n
+    mit = texts["MIT-text"].split()
+    rows = [(1, " ".join(mit[:60]), "en", "s", 1), (2, "x " + " ".join(mit[:150]), "en", "s", 1)]
+    got = {(r.doc_id, r.license): r.coverage for r in licenses.license_scan(documents(spark, rows)).collect()}
+    assert (1, "MIT-text") not in got and got[2, "MIT-text"] < 1
+
+
+def test_regions_left_out_hold_no_match(monkeypatch):
+    model, rng = "a b c d e f g h i j k l".split(), np.random.default_rng(5)
+    index = licenses.index_of([("one", " ".join(model))])
+    texts = [" ".join(rng.choice([*model, "x", "y"], 9)) + " " + " ".join(w for w in model if rng.random() > 0.15) + " x a b c d" for _ in range(300)]
+    blocks = licenses.tk.texts_of(pa.array(texts, pa.large_string()))
+    got = licenses.scan(blocks, index)
+    monkeypatch.setattr(licenses, "_able", lambda doc, *_: np.ones(len(doc), bool))
+    monkeypatch.setattr(licenses, "_within", lambda model, *_: len(model))
+    assert got and got == licenses.scan(blocks, index)

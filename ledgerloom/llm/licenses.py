@@ -31,6 +31,9 @@ from ledgerloom.llm import textkit as tk
 from ledgerloom.llm.runtime import documents, over_batches, table
 
 GRAM, WINNOW, BAND = 3, 4, 8
+#: Templates of fewer words have all their pairs of words in the index. An alignment of two matches or more begins with
+#: two neighbouring ones (a gap after the first would end it), so it always has a hit.
+SHORT = 32
 #: A region is reported if at least this share of its template's words is matched.
 LEAST_COVERAGE = 0.8
 MAX_BYTES = 16 << 20
@@ -112,6 +115,15 @@ def winnow(gram: np.ndarray, window: int = WINNOW) -> np.ndarray:
     return np.unique(np.arange(len(rows)) + window - 1 - np.argmin(rows[:, ::-1], 1))
 
 
+def _gram_of(n_words: int) -> int:
+    return GRAM if n_words >= SHORT else min(2, n_words)
+
+
+def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    gram = tk.gram_hashes(hashes, n)
+    return gram if n == GRAM else tk.mix(gram + np.uint64(n))
+
+
 def index_of(templates: Sequence[tuple[str, str]]) -> Index:
     if sum(len(t.encode()) for _, t in templates) > MAX_BYTES:
         raise ValueError("the templates are larger than what may be sent to every task")
@@ -120,10 +132,8 @@ def index_of(templates: Sequence[tuple[str, str]]) -> Index:
         hashes, _ = _words(tk.texts_of(pa.array([text], pa.large_string())))
         if not len(hashes):
             continue
-        gram = tk.gram_hashes(hashes, min(GRAM, len(hashes)))
-        if len(hashes) < GRAM:
-            gram = tk.mix(gram + np.uint64(len(hashes)))
-        at = winnow(gram)
+        gram = _grams(hashes, _gram_of(len(hashes)))
+        at = np.arange(len(gram)) if len(hashes) < SHORT else winnow(gram)
         out.gram, out.place = np.append(out.gram, gram[at]), np.append(out.place, at)
         out.template = np.append(out.template, np.full(len(at), len(out.names)))
         out.names.append(name)
@@ -195,10 +205,8 @@ def scan(texts: tk.Texts, index: Index) -> list[tuple[int, int, float, int, int,
     if not len(hashes) or not len(index.gram):
         return []
     found: set[tuple[int, int, int]] = set()
-    for n in sorted({min(GRAM, len(w)) for w in index.words}):
-        gram = tk.gram_hashes(hashes, n)
-        if n < GRAM:
-            gram = tk.mix(gram + np.uint64(n))
+    for n in sorted({_gram_of(len(w)) for w in index.words}):
+        gram = _grams(hashes, n)
         at = np.flatnonzero(words.doc[: len(gram)] == words.doc[n - 1 :]) if len(gram) else np.zeros(0, np.int64)
         low, high = np.searchsorted(index.gram, gram[at], "left"), np.searchsorted(index.gram, gram[at], "right")
         count = high - low

@@ -87,3 +87,18 @@ def test_regions_left_out_hold_no_match(monkeypatch):
     monkeypatch.setattr(licenses, "_able", lambda doc, *_: np.ones(len(doc), bool))
     monkeypatch.setattr(licenses, "_within", lambda model, *_: len(model))
     assert got and got == licenses.scan(blocks, index)
+
+
+def test_short_templates_have_no_blind_spot(spark):
+    short = [(n, t) for n, t in licenses.TEMPLATES if len(t.split()) < licenses.SHORT]
+    cases = [(n, " ".join(t.split()[:i] + t.split()[i + 1 :])) for n, t in short for i in range(len(t.split()))]
+    index = licenses.index_of(short)
+    words = {n: w for n, w in zip(index.names, index.words)}
+    got = licenses.scan(licenses.tk.texts_of(pa.array([t for _, t in cases], pa.large_string())), index)
+    found = {(d, index.names[t]) for d, t, *_ in got}
+    for k, (n, text) in enumerate(cases):
+        own, _ = licenses._words(licenses.tk.texts_of(pa.array([text], pa.large_string())))
+        _, matched = plain_local(words[n].tolist(), own.tolist())
+        assert ((k, n) in found) == (matched >= licenses.LEAST_COVERAGE * len(words[n])), (n, text)
+    rows = [(1, "Released under MIT License.", "en", "s", 1)]
+    assert [(r.license, r.coverage) for r in licenses.license_scan(documents(spark, rows)).collect()] == [("MIT", 0.8)]

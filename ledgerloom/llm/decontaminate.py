@@ -45,7 +45,7 @@ BLOCK_BYTES = 8 << 20
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, spans array<bigint>, items array<string>"
 
 
 def _words(texts: tk.Texts) -> tuple[np.ndarray, tk.Words]:
@@ -170,12 +170,14 @@ def _digest(batch: pa.RecordBatch) -> dict[str, pa.Array]:
     """Words, hit words, items and verdict from what all passes found."""
     n_words = [np.diff(_words(part)[1].first) for _, _, part in tk.blocks(tk.texts_of(batch.column("text")))]
     n_words = np.concatenate(n_words)
-    n_hit, names = np.zeros(batch.num_rows, np.int64), []
+    n_hit, names, hit = np.zeros(batch.num_rows, np.int64), [], []
     for k, (spans, items) in enumerate(zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist())):
         if spans:
             pairs = np.asarray(spans, np.int64).reshape(-1, 2)
             _, a, b = tk.union_length(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
             n_hit[k] = (b - a).sum()
+            spans = np.stack([a, b], 1).ravel().tolist()
+        hit.append(spans)
         names.append(sorted(set(items)))
     return {
         "n_words": pa.array(n_words),
@@ -184,6 +186,8 @@ def _digest(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
         "contaminated": pa.array((n_hit > 0) & (SHARE * n_hit >= n_words)),
         "longest_match": batch.column("__longest"),
+        "spans": pa.array(hit, pa.list_(pa.int64())),
+        "items": pa.array(names, pa.list_(pa.string())),
     }
 
 
@@ -216,12 +220,15 @@ def _searched(docs: DataFrame, benchmark: DataFrame, finish: Callable[[pa.Record
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The verdict on every document; columns as in RESULT."""
+    """The verdict on every document; columns as in RESULT.
+
+    `spans` holds first and end word (exclusive, from 0) of each hit stretch in turn, `items` the ids found.
+    """
     return _searched(documents(docs), benchmark, lambda batch: pa.record_batch({"doc_id": batch.column("doc_id")} | _digest(batch)), RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_match")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_match", "spans", "items")
 
 
 def _words_sql(source: str, key: str) -> str:

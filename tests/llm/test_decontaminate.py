@@ -76,3 +76,12 @@ def test_empty_tables_and_stage(spark, tmp_path):
     assert out.schema == docs.schema
     kept = {r.doc_id for r in out.collect()}
     assert 0 not in kept and 6 not in kept and 8 in kept and 4 in kept
+
+
+@pytest.mark.parametrize("size", [8 << 20, 60])
+def test_spans_and_items(spark, monkeypatch, size):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+    long = ITEMS[0][1].split()
+    rows = [(1, " ".join(["x", *long, "y", "one"]), "en", "s", 1), (2, " ".join(["p", "q", *long[3:17]]), "en", "s", 1), (3, "clean", "en", "s", 1), (4, None, "en", "s", 1)]
+    got = {r.doc_id: (r.spans, r.items) for r in decontaminate.decontaminate(documents(spark, rows), bench(spark, ITEMS)).collect()}
+    assert got == {1: ([1, 26, 27, 28], ["1", "2"]), 2: ([2, 16], ["1"]), 3: ([], []), 4: ([], [])}

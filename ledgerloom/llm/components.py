@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by smallest labels and pointer jumping."""
+"""Connected components of an edge table, by contracting it."""
 
 from __future__ import annotations
 
@@ -8,20 +8,32 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.runtime import written
 
 
+def _renamed(edges: DataFrame, step: DataFrame) -> DataFrame:
+    """The edges between what their ends were merged into; each once, the smaller end first."""
+    for end in "ab":
+        edges = edges.join(step.select(F.col("node").alias(end), F.col("label").alias(f"to_{end}")), end)
+    return edges.where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the edges (a, b): the label is the smallest node that it is connected with.
 
-    Each round takes the smallest label among a node and its neighbours, then
-    that label's own label; so chains shorten by half and stars need two
-    rounds. Counts are combined before the shuffle; rounds are written tables.
+    Each round merges every node into the smallest of its neighbours, and into
+    what that one merges into. Edges inside a merged node are gone, so rounds
+    handle fewer and fewer rows. Minima are combined before the shuffle;
+    rounds are written tables.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("seen")), "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
-        step = labels.join(near, "node").select("node", F.least("label", "seen").alias("next"), F.col("label").alias("old"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = written(step.join(jump, "next", "left").select("node", F.least("next", "far").alias("label"), "old"), "labels")
-        labels = new.select("node", "label")
-        if new.where("label <> old").isEmpty():
-            return labels
+    left = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = None
+    while labels is None or not left.isEmpty():
+        ends = left.select(F.col("a").alias("node"), F.col("a").alias("near")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("near")))
+        near = ends.groupBy("node").agg(F.min("near").alias("near"))
+        step = near.join(near.select(F.col("node").alias("near"), F.col("near").alias("far")), "near", "left")
+        step = written(step.select("node", F.coalesce("far", "near").alias("label")), "step")
+        if labels is None:
+            labels = step
+        else:
+            moved = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
+            labels = written(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        left = written(_renamed(left, step), "edges")
+    return labels

@@ -11,9 +11,13 @@ in each fragment separately and summed per pair, and the sum decides exactly.
 Texts with equal shingle sets are one class from the first fragment on. In a
 posting list, all members are first compared with one leader, the text with the
 smallest share of shingles of its own, so a group of near copies costs one pair
-for each member. What the leaders have connected needs no further links; the
-posting lists that still hold more than one component are then joined across
-components, without any cap, so that no link between components is lost.
+for each member. What the leaders have connected needs no further links. Of the
+lists that still hold several components, short ones are joined across
+components; where the long ones make more work than in proportion to the input,
+their members are indexed anew by what tells them from their leader
+(`_by_difference`), where the common core of a group is in no list, and the
+round starts again. No list is capped, and no link between components is lost;
+rounds end when the work is in proportion, or no longer falls by half.
 
 Blocks of numbers, not rows, travel in the first two shuffles, and each group
 is bounded by the number of fragments, which follows the session's shuffle
@@ -37,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import textkit as tk
 from ledgerloom.llm.components import components
-from ledgerloom.llm.runtime import NULL_KEY, documents, key_back, parts, table, written
+from ledgerloom.llm.runtime import NULL_KEY, documents, fresh, key_back, parts, table, written
 
 WORDS = 5
 PERCENT = 80
@@ -251,9 +255,38 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return total.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * PERCENT).select("a", "b", "overlap")
 
 
-#: A pair can reach the similarity only if the overlap fits into what each side shares with any text, and, at the first
-#: common shingle of the global order, into what each side has left from there on.
-_ABLE = f"(100 + {PERCENT}) * least(ma, mb, na - pa, nb - pb) >= {PERCENT} * (na + nb)"
+#: Open posting lists of more members than this may be indexed anew by differences; in shorter ones all pairs are looked at.
+SHORT = 16
+
+#: A place in a list: p elements of a set of s come before it. Pairs that differ in few enough elements (in all, the same
+#: as a large enough overlap) must have enough in common from their first common element on.
+_ABLE = f"2 * (100 + {PERCENT}) * least(sa - pa, sb - pb) >= (100 + {PERCENT}) * (sa + sb) - (100 - {PERCENT}) * (na + nb)"
+
+
+def _side(lists: DataFrame, x: str, *more: str) -> DataFrame:
+    return lists.select("code", F.col("class").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "s", "p", *more)))
+
+
+def _by_difference(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """Lists of the classes of each cluster (leader, class) by what tells them from the leader's set.
+
+    Sets that link differ in at most (100 - PERCENT) / (100 + PERCENT) of their
+    sizes. What x and y both have or both lack, seen from the leader, is no
+    difference; so the common core of a group of near copies is in no list.
+    By size and triangle inequality a link of y that doesn't follow from both
+    being linked to the leader has a common element among the first
+    n (100 - PERCENT) / PERCENT + 1 differences of y, rarest first.
+    """
+    leaders = sets.select(F.col("class").alias("leader"), F.col("codes").alias("core"), F.col("n").alias("nl"), F.col("m").alias("ml"))
+    most = F.floor(F.col("n") * (100 - PERCENT) / PERCENT)
+    both = clusters.join(sets.select("class", "n", "m", "codes"), "class").join(leaders, "leader")
+    extra, missing = F.array_except("codes", "core"), F.array_except("core", "codes")
+    told = both.select("leader", "class", "n", "m", (F.size(extra) + F.size(missing) + F.col("n") - F.col("m") + F.col("nl") - F.col("ml")).alias("s"), F.concat(extra, missing).alias("d"))
+    rows = written(told.select("leader", "class", "n", "m", "s", F.explode("d").alias("d")), "differences")
+    times = rows.groupBy("leader", "d").agg(F.count("*").alias("times"))
+    place = F.row_number().over(Window.partitionBy("leader", "class").orderBy("times", "d")) + F.col("n") - F.col("m") - 1
+    ordered = rows.join(times, ["leader", "d"]).withColumn("p", place).where((F.col("p") <= most) & (F.col("times") > 1))
+    return ordered.select(F.struct("leader", "d").alias("code"), "class", "n", "m", "s", "p")
 
 
 def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -265,23 +298,51 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     gathered = written(counted.groupBy("part").applyInArrow(_gather, SETS), "sets")
     members = gathered.where(F.col("kind") == MEMBERS).select("doc_id", "class", "n")
     sets = gathered.where(F.col("kind") == SIZES)
-    postings = sets.select("class", "n", "m", F.posexplode("prefix").alias("i", "code")).select("class", "n", "m", (F.col("n") - F.col("m") + F.col("i")).alias("p"), "code")
-    rank = F.struct((F.col("m") / F.col("n")).alias("own"), F.col("class"), F.col("n"), F.col("m"), F.col("p"))
-    leaders = postings.groupBy("code").agg(F.max(rank).alias("leader"), F.count("*").alias("times")).where("times > 1").select("code", "leader.class", "leader.n", "leader.m", "leader.p")
-    star = postings.select("code", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("p").alias("pb"))
-    star = leaders.withColumnsRenamed({"class": "a", "n": "na", "m": "ma", "p": "pa"}).join(star, "code").where(f"a <> b and {_ABLE}").select("a", "b", "na", "nb").distinct()
-    links = written(_overlaps(star, sets), "links")
-    labels = components(links)
-    marked = postings.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    open_ = marked.groupBy("code").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("code")
-    rest = written(marked.join(open_, "code"), "open")
-    one, two = (rest.select("code", *(F.col(c).alias(d) for c, d in (("class", x), ("n", f"n{x}"), ("m", f"m{x}"), ("p", f"p{x}"), ("label", f"l{x}")))) for x in "ab")
-    across = one.join(two, "code").where(f"la < lb and {_ABLE}").select("a", "b", "na", "nb").distinct()
-    tested = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = written(_overlaps(across.join(tested, ["a", "b"], "left_anti"), sets), "links")
-    if more.isEmpty():
-        return members, labels.withColumnRenamed("node", "class")
-    return members, components(links.unionByName(more)).withColumnRenamed("node", "class")
+    lists = sets.select("class", "n", "m", F.posexplode("prefix").alias("i", "code")).select("code", "class", "n", "m", F.col("n").alias("s"), (F.col("n") - F.col("m") + F.col("i")).alias("p"))
+    postings = sets.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    links = labels = tested = work = None
+    while True:
+        # the leader is a text of few shingles of its own, or, among those indexed by difference, of few differences
+        rank = F.struct((F.col("m") / F.col("n") if work is None else -F.col("s") / F.col("n")).alias("near"), F.col("class"), F.col("n"), F.col("s"), F.col("p"))
+        leaders = lists.groupBy("code").agg(F.max(rank).alias("leader"), F.count("*").alias("times")).where("times > 1")
+        star = leaders.select("code", *(F.col(f"leader.{c}").alias(d) for c, d in (("class", "a"), ("n", "na"), ("s", "sa"), ("p", "pa")))).join(_side(lists, "b"), "code")
+        star = star.where(f"a <> b and {_ABLE}").select("a", "b", "na", "nb").distinct()
+        if tested is not None:
+            star = _new(star, labels, tested)
+        star = written(star, "pairs")
+        found = written(_overlaps(star, sets), "links")
+        links = found if links is None else links.unionByName(found)
+        tested = star.select("a", "b") if tested is None else tested.unionByName(star.select("a", "b"))
+        labels = components(links).withColumnRenamed("node", "class")
+        marked = lists.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        open_ = marked.groupBy("code").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("times"), F.max(rank).alias("leader"))
+        open_ = open_.where("low <> high").select("code", "times", F.col("leader.class").alias("leader"))
+        rest = written(marked.join(open_, "code"), "open")
+        before, work = work, rest.where(F.col("times") > SHORT).agg(F.sum("times")).first()[0] or 0
+        # not where comparing within the lists is in proportion to the postings, or one more index would not tell texts apart
+        indexed = work > SHORT * postings and (before is None or 2 * work <= before)
+        pairs = rest.where(F.col("times") <= SHORT) if indexed else rest
+        across = _side(pairs, "a", "label").join(_side(pairs, "b", "label"), "code").where(f"labela < labelb and {_ABLE}").select("a", "b", "na", "nb").distinct()
+        across = written(_new(across, None, tested), "pairs")
+        tested = tested.unionByName(across.select("a", "b"))
+        found = written(_overlaps(across, sets), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links).withColumnRenamed("node", "class")
+        if not indexed:
+            return members, labels
+        clusters = rest.where(F.col("times") > SHORT).select("leader", "class").where("leader <> class").distinct()
+        lists = written(_by_difference(clusters, sets), "lists")
+
+
+def _new(pairs: DataFrame, labels: DataFrame | None, tested: DataFrame) -> DataFrame:
+    """The pairs that were not tested yet, in either order, and not connected by others."""
+    if labels is not None:
+        for end in "ab":
+            pairs = pairs.join(labels.select(F.col("class").alias(end), F.col("label").alias(f"label{end}")), end, "left").withColumn(f"label{end}", F.coalesce(f"label{end}", end))
+        pairs = pairs.where("labela <> labelb").drop("labela", "labelb")
+    both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(both, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -292,7 +353,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     of_class = classes.join(least, "label").select("class", "component_id")
-    out = members.join(of_class, "class", "left")
+    # wordless rows are one class of any size that needs no component: their own ids spread them over the tasks
+    out = members.withColumn("class", F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc_id"))).join(of_class, "class", "left")
     return out.select(
         key_back(F.col("doc_id")).alias("doc_id"),
         F.col("n").cast("long").alias("n_shingles"),
@@ -306,9 +368,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the rows with its id stay; rows that share this id, or have none, all stay."""
-    found = near_duplicates(docs).where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found.hint("shuffle_hash"), docs["doc_id"] == found["__gone"], "left_anti")
+    """Pipeline stage: of each component exactly one row stays, that with the least doc_id (one without id only if none has one).
+
+    Rows are numbered first and told apart by their numbers, so repeated and
+    null ids don't matter; rows without words all stay.
+    """
+    row = fresh(docs, "row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text")).where("n_shingles > 0")
+    ids = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    told = ids.join(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("of")), "row")
+    best = told.groupBy("of").agg(F.min(F.struct(F.isnull("id"), F.col("id"), F.col("row"))).alias("best"), F.count("*").alias("rows")).where("rows > 1").select("of", F.col("best.row").alias("stays"))
+    gone = told.join(best, "of").where("row <> stays").select(F.col("row").alias(row))
+    return numbered.join(gone.hint("shuffle_hash"), row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def _oracle(source: str) -> str:

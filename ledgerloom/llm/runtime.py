@@ -24,6 +24,14 @@ def documents(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def key_of(column: Column) -> Column:
     return F.coalesce(column, F.lit(NULL_KEY))
 
@@ -37,6 +45,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster, spark.checkpoint.dir has to name a folder that driver and executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.sparkContext.setCheckpointDir(named)

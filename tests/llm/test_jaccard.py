@@ -95,3 +95,49 @@ def test_stage_and_empty(spark):
     assert out.schema == docs.schema
     assert sorted(str(r.doc_id) for r in out.collect()) == ["3", "7", "8", "None"]
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+
+
+def variants(n, edits, seed=5):
+    """Near copies of a text that isn't there: each has other words at a few random places."""
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    base, rows = rng.choice(vocabulary, 60), []
+    for i in range(n):
+        w = base.copy()
+        w[rng.choice(60, edits, replace=False)] = rng.choice(vocabulary, edits)
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_pairs_grow_in_proportion(spark, monkeypatch, edits):
+    plain, pairs = jaccard._overlaps, []
+
+    def counted(p, sets):
+        pairs[-1] += p.count()
+        return plain(p, sets)
+
+    monkeypatch.setattr(jaccard, "_overlaps", counted)
+    for n in (300, 600):
+        rows = variants(n, edits)
+        pairs.append(0)
+        assert result(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+        assert pairs[-1] <= n
+
+
+@pytest.mark.parametrize("short", [0, 1, 3])
+def test_lists_indexed_by_difference(spark, monkeypatch, short):
+    """However early lists count as long, no link is lost."""
+    monkeypatch.setattr(jaccard, "SHORT", short)
+    rows = cases() + [(1000 + i, t) for i, t in variants(60, 2, 8)]
+    assert result(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_stage_keeps_one_row_of_each(spark):
+    """Repeated and null ids don't count as other documents, and columns may be named like the stage's own."""
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(5, text, 1, 2), (5, text, 1, 2), (3, text, 3, 4), (3, text, 3, 4), (None, text, 5, 6), (7, "own words", 7, 8), (7, None, 7, 8), (None, "lone text", 9, 9), (None, "lone text", 9, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __gone int, row int")
+    out = jaccard.one_of_each(spark, docs, "")
+    assert out.schema == docs.schema
+    assert sorted(map(str, out.collect())) == sorted(map(str, spark.createDataFrame([rows[2], rows[5], rows[6], rows[7]], docs.schema).collect()))

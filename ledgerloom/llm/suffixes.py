@@ -10,12 +10,14 @@ never travels. Equal contexts are sent once, with their number.
 Each shard builds a suffix array over its contexts by two-stage sorting: only
 suffixes that are smaller than their successors are sorted directly; the others
 follow by one scan over the buckets of first bytes. Neighbours in the array
-whose common prefix reaches LENGTH are repeated strings. Contexts are cut to
-what they share with others before, and equal ones are one string.
+whose common prefix, in bytes, reaches LENGTH are repeated strings; nothing else
+decides. Contexts are cut to what they share with others before, and equal ones
+(by bytes) enter the array twice, however often they occur.
 
 Texts are grouped first: equal texts are one text with a count, so a group of
-copies of any size costs one row per task. Anchors and strings are compared by
-64-bit hashes; texts are told apart by hash and length.
+copies of any size costs one row per task. Hashes of 64 bits only route:
+anchors to fragments, contexts to their places, and runs back to their texts
+(with the length).
 
 Cases: null and empty texts have no bytes; strings never cross documents, but
 may repeat and overlap in one; repeated rows are copies of one another, null
@@ -265,26 +267,49 @@ def _sort_directly(text: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = LENGTH) -> np.ndarray:
     """Common prefix of each suffix in the array with the one before it, up to `most`; the first has none."""
-    text = np.concatenate([data, np.zeros(most + 1, np.uint8)])
+    n = len(data)
+    text = np.concatenate([data, np.zeros(most + 16, np.uint8)])
+    word = np.zeros(n + most + 8, np.uint64)  # the eight bytes from each place on
+    for k in range(8):
+        word = word << np.uint64(8) | text[k : k + len(word)]
     out = np.zeros(len(order), np.int64)
     a, b, at = order[1:], order[:-1], np.arange(1, len(order))
-    for depth in range(most):
-        same = (text[a + depth] == text[b + depth]) & (a + depth < len(data)) & (b + depth < len(data))
-        a, b, at = a[same], b[same], at[same]
+    for depth in range(0, most, 8):
+        differ = word[a + depth] ^ word[b + depth]
+        equal = differ == 0
+        if not equal.all():
+            rest = differ[~equal]
+            alike = np.zeros(len(rest), np.int64)
+            for k in range(1, 8):
+                alike += rest >> np.uint64(64 - 8 * k) == 0
+            out[at[~equal]] = depth + alike
+            a, b, at = a[equal], b[equal], at[equal]
         if not len(a):
             break
-        out[at] = depth + 1
-    return out
+    out[at] = most
+    # what follows the end is no common byte
+    out[1:] = np.minimum(out[1:], n - np.maximum(order[1:], order[:-1]))
+    return np.minimum(out, most)
 
 
 def repeated_strings(data: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Mask of the wanted places whose string of LENGTH bytes starts at another wanted place too: neighbours in the suffix array."""
     order = sort_suffixes(data, wanted)
-    string = tk.span_hash(tk.prefix_hash(data), order, order + LENGTH)
-    same = string[1:] == string[:-1]  # the common prefix reaches LENGTH
+    same = common_prefixes(data, order) >= LENGTH
     out = np.zeros(len(data), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
+    out[order[same]] = True
+    out[order[np.flatnonzero(same) - 1]] = True
+    return out
+
+
+def _equal_bytes(text: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether text[one:one + size] is text[two:two + size], a stretch of bounded size at a time."""
+    out = np.ones(len(one), bool)
+    total = np.cumsum(size)
+    for own in np.split(np.arange(len(one)), np.flatnonzero(np.diff(total // SHARD_BYTES)) + 1):
+        if len(own):
+            same = text[tk.ranges(one[own], size[own])] == text[tk.ranges(two[own], size[own])]
+            out[own] = np.logical_and.reduceat(same, np.cumsum(size[own]) - size[own])
     return out
 
 
@@ -355,35 +380,46 @@ def _shard(group: pa.Table) -> pa.Table:
     with np.errstate(over="ignore"):
         cut = tk.mix(_hashes(text, start + low, start + high) + anchor.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + reach_left.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     _, model, of = np.unique(cut, return_index=True, return_inverse=True)
+    # equal hashes of other bytes are contexts of their own
+    length = high - low
+    other = np.flatnonzero((length != length[model][of]) | (anchor != anchor[model][of]))
+    alike = np.setdiff1d(np.flatnonzero(model[of] != np.arange(len(of))), other)
+    other = np.append(other, alike[~_equal_bytes(text, (start + low)[alike], (start + low)[model[of[alike]]], length[alike])])
+    of[other] = len(model) + np.arange(len(other))
+    model = np.append(model, other)
     times = np.bincount(of, weight, len(model)).astype(np.int64)
-    twice = np.flatnonzero(times[of] > 1)
-    first, end, owner = [low[twice]], [high[twice]], [twice]
-    # what was cut alike by different neighbours, and so stands once: anchor by anchor, in shards of bounded size
-    single = np.zeros(int(anchor.max(initial=0)) + 1, bool)
-    single[anchor[model[times == 1]]] = True
-    several = np.bincount(anchor[model], minlength=len(single)) > 1
-    model = model[(single & several)[anchor[model]]]
-    model = model[np.argsort(anchor[model], kind="stable")]
-    if len(model):
-        size = high[model] - low[model] + 1
+    # a context that stands once and alone with its anchor repeats nothing; all others go to the array, anchor by anchor, in shards of bounded size
+    held = np.bincount(anchor[model], np.minimum(times, 2), int(anchor.max(initial=0)) + 1)
+    sent = np.flatnonzero(held[anchor[model]] > 1)
+    sent = sent[np.argsort(anchor[model[sent]], kind="stable")]
+    first, end, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(sent):
+        twice = np.minimum(times[sent], 2)
+        size = (length[model[sent]] + 1) * twice
         shard = (np.cumsum(size) - size) // SHARD_BYTES
-        begins = np.flatnonzero(np.append(True, anchor[model][1:] != anchor[model][:-1]))
-        shard = np.repeat(shard[begins], np.diff(np.append(begins, len(model))))
-        for own in np.split(model, np.flatnonzero(np.diff(shard)) + 1):
-            span = high[own] - low[own]
+        begins = np.flatnonzero(np.append(True, np.diff(anchor[model[sent]]) > 0))
+        shard = np.repeat(shard[begins], np.diff(np.append(begins, len(sent))))
+        for own in np.split(np.arange(len(sent)), np.flatnonzero(np.diff(shard)) + 1):
+            each = np.repeat(sent[own], twice[own])
+            at, span = (start + low)[model[each]], length[model[each]]
             data = np.full(int((span + 1).sum()), 255, np.uint8)
             base = np.cumsum(span + 1) - span - 1
-            data[tk.ranges(base, span)] = text[tk.ranges(start[own] + low[own], span)]
+            data[tk.ranges(base, span)] = text[tk.ranges(at, span)]
             wanted = np.zeros(len(data), bool)
             wanted[tk.ranges(base, span - LENGTH + 1)] = True
             hit = np.flatnonzero(repeated_strings(data, wanted))
             c = np.searchsorted(base, hit, "right") - 1
-            c, a, b = tk.union_length(c, hit - base[c], hit - base[c] + LENGTH)
-            once = times[of[own[c]]] == 1
-            owner.append(own[c[once]])
-            first.append(low[owner[-1]] + a[once])
-            end.append(low[owner[-1]] + b[once])
+            c, a, b = tk.union_length(each[c], hit - base[c], hit - base[c] + LENGTH)
+            owner.append(c)
+            first.append(a)
+            end.append(b)
+    # from each model to all contexts that are equal to it
     first, end, owner = np.concatenate(first), np.concatenate(end), np.concatenate(owner)
+    by = np.argsort(owner, kind="stable")
+    first, end, owner = first[by], end[by], owner[by]
+    left, right = np.searchsorted(owner, of, "left"), np.searchsorted(owner, of, "right")
+    at, owner = tk.ranges(left, right - left), np.repeat(np.arange(len(of)), right - left)
+    first, end = low[owner] + first[at], low[owner] + end[at]
     # every place of a context has its intervals
     key = name[owner]
     order = np.argsort(key, kind="stable")
@@ -397,15 +433,14 @@ def _shard(group: pa.Table) -> pa.Table:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """Distinct texts: k, text, copies."""
+    """Distinct texts: k, size, text, copies; text itself is the key, so they are told apart by their bytes."""
     own = documents(docs).select(F.xxhash64("text").alias("k"), F.octet_length("text").alias("size"), "text").where(f"size >= {LENGTH}")
-    return own.groupBy("k", "size").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    return own.groupBy("k", "size", "text").agg(F.count("*").alias("copies"))
 
 
-def _anchored(docs: DataFrame, fragments: int) -> DataFrame:
-    """Repeated anchors of the distinct texts of each task: k and array of places."""
-    own = documents(docs).select(F.xxhash64("text").alias("k"), "text").where(f"octet_length(text) >= {LENGTH}")
-    sent = over_batches(own, _send_anchors(fragments), BLOB)
+def _anchored(texts: DataFrame, fragments: int) -> DataFrame:
+    """Repeated anchors of the distinct texts: k and array of places."""
+    sent = over_batches(texts.select("k", "size", "text", "copies"), _send_anchors(fragments), BLOB)
     return sent.groupBy("part").applyInArrow(_repeated, "k long, at long").groupBy("k").agg(F.collect_set("at").alias("at"))
 
 
@@ -413,7 +448,7 @@ def spans(docs: DataFrame) -> DataFrame:
     """k, text, copies and `runs`, an array of intervals to remove, of every distinct text of LENGTH bytes or more."""
     fragments = min(parts(docs.sparkSession), 60_000)
     texts = _texts(docs)
-    found = texts.join(_anchored(docs, fragments).hint("shuffle_hash"), "k").select("k", "text", "copies", "at")
+    found = texts.join(_anchored(texts, fragments).hint("shuffle_hash"), "k").select("k", "text", "copies", "at")
     sent = over_batches(found, _send_contexts(fragments), BLOB)
     runs = sent.groupBy("part").applyInArrow(_shard, "k long, first int, end int")
     runs = written(runs, "runs").groupBy("k").agg(F.collect_list(F.struct("first", "end")).alias("runs"))

@@ -80,3 +80,49 @@ def test_spans_and_empty(spark):
     got = {r.doc_id: r.removed for r in suffixes.removed_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [tuple(x) for x in got[1]] == [(10, 370)] and [tuple(x) for x in got[2]] == [(0, 360)] and got[3] is None
     assert suffixes.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def shard_rows(texts):
+    """What one fragment makes of the texts, without Spark: (text number, first, end)."""
+    import pyarrow as pa
+
+    batch = pa.record_batch({"k": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.large_string()), "copies": pa.array([1] * len(texts), pa.int64())})
+    places = suffixes._repeated(pa.Table.from_batches([suffixes._send_anchors(1)(batch)])).to_pylist()
+    at = pa.array([[p["at"] for p in places if p["k"] == k] for k in range(len(texts))], pa.list_(pa.int64()))
+    sent = suffixes._send_contexts(1)(pa.record_batch({**{c: batch.column(c) for c in batch.schema.names}, "at": at}))
+    return [tuple(r.values()) for r in suffixes._shard(pa.Table.from_batches([sent])).to_pylist()]
+
+
+def test_common_prefixes_alone_decide(monkeypatch):
+    rng = np.random.default_rng(12)
+    passage = prose(rng, 120)
+    texts = [prose(rng, 40) + passage + prose(rng, 40) for _ in range(6)] + [prose(rng, 200), passage + "!", "?" + passage[:300]]
+    assert {k for k, _, _ in shard_rows(texts)} == {0, 1, 2, 3, 4, 5, 7, 8}
+    seen = []
+    plain = suffixes.common_prefixes
+    monkeypatch.setattr(suffixes, "common_prefixes", lambda data, order, most=200: seen.append(len(order)) or plain(data, order, most))
+    shard_rows(texts)
+    assert seen and sum(seen) > len(passage.encode()) - 199
+    monkeypatch.setattr(suffixes, "common_prefixes", lambda data, order, most=200: np.zeros(len(order), np.int64))
+    assert shard_rows(texts) == []
+
+
+def test_equal_hashes_of_other_bytes(monkeypatch):
+    """Hashes only route: contexts whose hashes happen to be equal are still told apart by their bytes."""
+    rng = np.random.default_rng(13)
+    texts = [(i, prose(rng, 60)) for i in range(8)] + [(20, prose(rng, 90))]
+    passage = texts[8][1]
+    texts += [(21, "a" + passage + "b"), (22, passage + prose(rng, 20))]
+    plain = suffixes._hashes
+    monkeypatch.setattr(suffixes, "_hashes", lambda text, begin, end: plain(text, begin, end) & np.uint64(0))
+    got = shard_rows([t for _, t in texts])
+    covered = {}
+    for k, a, b in got:
+        covered.setdefault(k, np.zeros(len(texts[k][1].encode()), bool))[a:b] = True
+    want = {d: n for d, _, n, _, _ in brute(texts)}
+    assert {str(texts[k][0]): int(m.sum()) for k, m in covered.items()} == {d: n for d, n in want.items() if n}
+
+
+def test_very_long_text(spark):
+    rows = [(r[0], r[1]) for r in awkward() if r[0] == 11]
+    assert result(suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)

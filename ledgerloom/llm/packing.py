@@ -15,7 +15,10 @@ Everything is seeded by block and island: equal input gives equal packings.
 
 Ids are those of the named vocabulary by `tokenizers`. Texts of Latin script
 are encoded with the same vocabulary by tiktoken, which is some five times
-faster; all other texts by tokenizers itself.
+faster; all other texts by tokenizers itself. Strings of control tokens inside a
+text are plain text by default, so no document can forge a token; with
+`control=True` (as in the query and the pipeline's stage) they become their
+tokens, as `tokenizers` has it unless told otherwise.
 
 Cases: null and empty texts are one end token; repeated rows are pieces of
 their own; null ids stay null; an empty table gives no rows.
@@ -50,16 +53,22 @@ STATE = "block long, island int, lengths binary, bins int, cost double, places b
 
 
 @functools.cache
-def _whole(vocabulary: str):
+def _whole(vocabulary: str, control: bool):
     """The tokenizer itself, loaded by a worker at the first text that needs it."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-    out.encode_special_tokens = True
+    out.encode_special_tokens = not control
     return out
 
 
+@functools.cache
+def _control(vocabulary: str) -> re.Pattern:
+    """Any string that the tokenizer finds before it splits a text into words."""
+    return re.compile("|".join(re.escape(t.content) for t in _whole(vocabulary, True).get_added_tokens_decoder().values()) or "(?!)")
+
+
 @functools.cache
 def _latin(ranks: str):
     import public_tokenizers
@@ -70,10 +79,10 @@ def _latin(ranks: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merged, special_tokens={})
 
 
-def token_ids(text: str, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> np.ndarray:
+def token_ids(text: str, vocabulary: str = VOCABULARY, ranks: str = RANKS, control: bool = False) -> np.ndarray:
     """Token ids of a whole text, then END, as little-endian unsigned 32-bit numbers."""
-    if _OTHER_SCRIPT.search(text):
-        ids = np.asarray(_whole(vocabulary).encode(text, add_special_tokens=False).ids, "<u4")
+    if _OTHER_SCRIPT.search(text) or control and _control(vocabulary).search(text):
+        ids = np.asarray(_whole(vocabulary, control).encode(text, add_special_tokens=False).ids, "<u4")
     else:
         ids = _latin(ranks).encode_to_numpy(text, disallowed_special=())
     out = np.empty(len(ids) + 1, "<u4")
@@ -87,7 +96,7 @@ def cuts(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     return [(0, first), *((s, length) for s in range(first, n, length))]
 
 
-def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
+def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS, control: bool = False) -> DataFrame:
     """The pieces of all documents; columns as in PIECES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +104,7 @@ def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS)
         for batch in batches:
             rows: list[tuple[int | None, int, int, int, int]] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = token_ids(text.as_py() or "", vocabulary, ranks)
+                ids = token_ids(text.as_py() or "", vocabulary, ranks, control)
                 rows += [(doc, k, start, n, zlib.crc32(ids[start : start + n].tobytes())) for k, (start, n) in enumerate(cuts(len(ids)))]
             doc, piece, start, n, crc = zip(*rows) if rows else ([],) * 5
             yield pa.record_batch({
@@ -287,9 +296,9 @@ def _dealt(pieces: DataFrame, n: int, round_: int) -> DataFrame:
     return pieces.withColumn("block", F.pmod(F.xxhash64("salt", "doc_id", "piece", "ids_crc32", F.lit(round_)), F.lit(max(1, -(-n // BLOCK)))))
 
 
-def pack(docs: DataFrame, size: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, size: int = LENGTH, control: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    pieces = written(tokenised(docs), "pieces")
+    pieces = written(tokenised(docs, control=control), "pieces")
     short = pieces.where(F.col("length") < size)
     whole = pieces.where(F.col("length") >= size)
     dealt = _dealt(short, short.count(), 0)
@@ -302,12 +311,12 @@ def pack(docs: DataFrame, size: int = LENGTH) -> DataFrame:
     return once.where("not poor").select(columns).unionByName(twice.select(columns)).unionByName(alone.select(columns))
 
 
-def sequences(docs: DataFrame, packed: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
+def sequences(docs: DataFrame, packed: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS, control: bool = False) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids; for documents with ids of their own."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            ids = token_ids(text.as_py() or "", vocabulary, ranks)
+            ids = token_ids(text.as_py() or "", vocabulary, ranks, control)
             own = cuts(len(ids))
             yield pa.record_batch({"doc_id": pa.array([doc] * len(own), pa.int64()), "piece": pa.array(range(len(own)), pa.int32()), "ids": pa.array([ids[s : s + n].tolist() for s, n in own], pa.list_(pa.int32()))})
 
@@ -317,9 +326,9 @@ def sequences(docs: DataFrame, packed: DataFrame, vocabulary: str = VOCABULARY,
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), control=True)
 
 
 def packed_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: where every piece of every document lies."""
-    return pack(docs)
+    return pack(docs, control=True)

@@ -87,3 +87,30 @@ def test_cross_keeps_every_piece_once():
 
 def test_empty(spark):
     assert packing.pack(documents(spark, [])).count() == 0
+
+
+def test_query_takes_ids_as_the_tokenizer_gives_them(spark, tmp_path):
+    """In the query a control token's string is that token; by default it is plain text (`test_awkward`)."""
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    names = [t.content for t in plain.get_added_tokens_decoder().values()]
+    rows = [(1, "a<|endoftext|>b"), (2, "".join(names)), (3, "no control"), (4, None), (5, f"中文{names[0]} x"), (6, f"  {names[0]}  y\n" * 400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = packing.query(spark, str(tmp_path)).collect()
+    check(got, pieces(plain, rows))
+    assert {r.doc_id: r.length for r in got if r.piece == 0}[1] == 4
+
+
+@pytest.mark.parametrize("low,high,n", [(250, 520, 2000), (300, 600, 2000), (340, 345, 900), (200, 512, 4000)])
+def test_the_search_wins_where_best_fit_is_off_the_bound(low, high, n):
+    lengths = np.random.default_rng(3).integers(low, high, n)
+    population = [packing.first_packing(lengths, np.random.default_rng(k) if k else None) for k in range(4)]
+    plain = int(population[0].max()) + 1
+    for epoch in range(6):
+        population = packing.evolve(lengths, population, np.random.default_rng(epoch))
+    assert min(int(p.max()) for p in population) + 1 < plain
+
+
+def test_stage_with_clashing_columns(spark):
+    rows = [(1, "one two three", 4, 5, 6), (2, None, 4, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block int, length int, __id int")
+    assert sorted((r.doc_id, r.length) for r in packing.packed_stage(spark, docs, "").collect()) == [(1, 4), (2, 1)]

@@ -20,7 +20,8 @@ a window which occurred before; so a passage goes whole wherever it starts.
 
 Cases: a null text stays null with no lines; an empty text has one empty line;
 rows with equal id and text count as one document and are treated alike; null
-ids come first in order; an empty table gives no rows.
+ids come first in order; an empty table gives no rows. The stage passes other
+columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -129,12 +130,17 @@ def passage_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents with the text that is left and its n_chars; those of which no line is left go."""
-    out = _cleaned(docs).where("__gone < __lines or __lines = 0")
-    new = {"text": F.col("__kept")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__gone") > 0, F.char_length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+    """Pipeline stage: documents with the text that is left and its n_chars; those of which no line is left go.
+
+    All other columns travel in one struct, so they may be named like the columns of this module.
+    """
+    other = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*(F.col(f"`{c}`") for c in other)) if other else F.lit(None)
+    out = _cleaned(docs.select("doc_id", "text", rest.alias("rest"))).where("__gone < __lines or __lines = 0")
+    new = {"doc_id": F.col("doc_id"), "text": F.col("__kept")} | {c: F.col("rest").getField(c) for c in other}
+    if "n_chars" in other:
+        new["n_chars"] = F.when(F.col("__gone") > 0, F.char_length("__kept")).otherwise(new["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new[c].alias(c) for c in docs.columns))
 
 
 def _oracle(source: str) -> str:

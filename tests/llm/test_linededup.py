@@ -120,3 +120,19 @@ def test_passages_in_sql(spark):
     got = linededup.passage_query(spark, "/root/testdata/sf0.01")
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert linededup.passage_dedup(documents(spark, [])).count() == 0
+
+
+def test_stage_with_clashing_columns(spark):
+    text = "\n".join(f"line number {i} of a passage" for i in range(30))
+    names = ["doc_id", "__id", "__hash", "text", "__gone", "__lines", "rest", "lines", "n_chars", "a.b"]
+    rows = [(1, 10, "h", text, 3, 4, "r", "l", len(text), 7), (2, 11, None, text, None, 5, "s", "m", len(text), 8), (3, 12, "i", None, 1, 1, None, None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, __id long, __hash string, text string, __gone int, __lines int, rest string, lines string, n_chars long, `a.b` int")
+    out = linededup.without_repeats(spark, docs, "")
+    assert out.schema == docs.schema and out.columns == names
+    got = {r[0]: r for r in out.collect()}
+    assert tuple(got[1]) == rows[0] and tuple(got[3]) == rows[2]
+    want = dict(brute([(r[0], r[3]) for r in rows]))
+    left = next((t for d, t in want.items() if int(d) == 2), "")
+    assert 2 not in got if not left else (got[2][3], got[2][8], got[2][9]) == (left, len(left), 8)
+    only = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [tuple(r) for r in linededup.without_repeats(spark, only, "").collect()] == [(1, text)]

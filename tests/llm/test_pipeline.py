@@ -77,3 +77,16 @@ def test_stages_survive_awkward_rows(spark):
     empty = documents(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_stages_take_any_extra_columns(spark, tables):
+    docs = tables[0].limit(60)
+    for name in ("__id", "__x", "__gone", "__spans", "spans", "row", "items", "class", "part", "kind", "longest"):
+        docs = docs.withColumn(name, docs.doc_id.cast("string"))
+    out = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.written(stage(spark, out, SF), "clash")
+        assert out.schema == docs.schema, name
+    rows = out.collect()
+    assert rows and all(r["__x"] == r["row"] == r["longest"] == str(r.doc_id) for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, out, SF).count() >= len(rows)

@@ -131,15 +131,15 @@ def structured_action(action: Column) -> Column:
 
 
 def repaired_json(content: Column) -> Column:
-    """Drops a code fence, cuts to the outer braces and escapes stray backslashes."""
+    """JSON out of chatty text: what lies between the outermost braces, else the text without its code fence; stray backslashes doubled.
+
+    One scan takes escapes as they come: a whole one stays, a backslash that starts none becomes two.
+    """
     text = strip(content)
-    fenced = strip(F.regexp_replace(F.regexp_replace(text, r"^[^\n]*\n?", ""), r"\n?[^\S\n]*```[^\S\n]*$", ""))
-    text = F.when(text.startswith("```"), fenced).otherwise(text)
-    first = F.instr(text, F.lit("{"))
-    last = F.when(F.instr(text, F.lit("}")) > 0, F.char_length(text) - F.instr(F.reverse(text), F.lit("}")) + 1).otherwise(0)
-    text = F.when((first > 0) & (last > first), F.substring(text, first, last - first + 1)).otherwise(text)
-    text = F.regexp_replace(text, r"\\u(?![0-9a-fA-F]{4})", r"\\\\u")
-    return F.regexp_replace(text, r'\\(?!["\\/bfnrtu])', r"\\\\")
+    braces = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    bare = strip(F.regexp_replace(text, r"(?s)^```[^\n]*\n?(.*?)(?:\s*```)?$", "$1"))
+    body = F.when(braces != "", braces).otherwise(bare)
+    return F.regexp_replace(body, r"""(\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})|(\\)""", "$1$2$2")
 
 
 def credential_url(url: Column) -> Column:

@@ -50,13 +50,47 @@ def trajectory_text(case: Column, episode: Column, group: Column, steps: Column,
     )
 
 
+class _Literals(ast.NodeVisitor):
+    """Values of literal syntax; a call by keywords at the top becomes its name and arguments, all else is refused."""
+
+    def generic_visit(self, node: ast.AST):
+        raise ValueError(f"{type(node).__name__} is no literal")
+
+    def visit_Expression(self, node: ast.Expression) -> tuple[str, dict]:
+        call = node.body
+        match call:
+            case ast.Call(func=ast.Name(id=name), args=[]):
+                named = {k.arg: self.visit(k.value) for k in call.keywords}
+                if None not in named:  # that is `**mapping`
+                    return name, named
+        return self.generic_visit(call)
+
+    def visit_Constant(self, node: ast.Constant):
+        return node.value
+
+    def visit_UnaryOp(self, node: ast.UnaryOp):
+        value = self.visit(node.operand)
+        match node.op, value:
+            case ast.USub(), int() | float() if not isinstance(value, bool):
+                return -value
+            case ast.UAdd(), int() | float() if not isinstance(value, bool):
+                return value
+        return self.generic_visit(node)
+
+    def visit_List(self, node: ast.List | ast.Tuple) -> list:
+        return [self.visit(x) for x in node.elts]
+
+    visit_Tuple = visit_List
+
+    def visit_Dict(self, node: ast.Dict) -> dict:
+        return {self.visit(k): self.visit(v) for k, v in zip(node.keys, node.values)}
+
+
 def _call(text: str) -> tuple[str | None, str | None]:
     try:
-        tree = ast.parse(text.strip(), mode="eval").body
-        if not isinstance(tree, ast.Call) or not isinstance(tree.func, ast.Name) or tree.args or any(k.arg is None for k in tree.keywords):
-            return None, None
-        return tree.func.id, json.dumps({k.arg: ast.literal_eval(k.value) for k in tree.keywords}, sort_keys=True)
-    except (SyntaxError, ValueError, TypeError):
+        name, arguments = _Literals().visit(ast.parse(text.strip(), mode="eval"))
+        return name, json.dumps(arguments, sort_keys=True)
+    except (SyntaxError, ValueError, TypeError, AttributeError, RecursionError):
         return None, None
 
 

@@ -100,3 +100,35 @@ def test_redaction_and_hashes(spark):
     one, two = values(spark, lk.row_hash, ['{"a": 1, "b": 1e-05}', '{"b": 0.00001, "a": 1}'])
     assert one == two
     assert values(spark, rendering.named_values, ['{"name": "b", "x": [{"name": "a"}, {"name": 3}]}']) == [["a", "b"]]
+
+
+def test_paths_of_evaluations_and_tests(spark):
+    refused = ["data/test_tasks.json", "tasks_test/x", "A\\Test\\b", "x/history/evaluations/run", "split=test", "my_TASKS_TEST.json"]
+    assert values(spark, lk.quarantined, refused) == [True] * len(refused)
+    assert values(spark, lk.quarantined, ["data/tasks.json", "latest/x", "split=train", "split=testing", "tests/x", None]) == [False] * 6
+
+
+def test_prompt_keys(spark):
+    rows = spark.createDataFrame([(1, '{"a": [{"Source_Task-IDs": 1}], "ｔａｓｋ_id": 2}'), (2, '{"embeddings": []}'), (3, '{"tasks": 1, "metadatä": 2}')], "i int, payload string")
+    assert sorted(map(tuple, lk.prompt_leaks(rows, "i", "payload").collect())) == [(1, "$.a[0].Source_Task-IDs"), (1, "$.ｔａｓｋ_id"), (2, "$.embeddings")]
+    assert lk.normalised("Ü_9", any_script=True) == "ü9" and lk.normalised("Ü_9") == "9"
+
+
+def test_redaction_of_nested_values(spark):
+    raw = '["http://u@h", "http://h/?", "http://h/#", "ftp://u:p@h", {"ACCESS token": {"x": 1}, "list": [["https://h/#f"], null, 2.5, true]}]'
+    (clean,) = values(spark, lk.redacted, [raw])
+    assert json.loads(clean) == ["[REDACTED]", "http://h/?", "http://h/#", "ftp://u:p@h", {"ACCESS token": "[REDACTED]", "list": [["[REDACTED]"], None, 2.5, True]}]
+    assert values(spark, lk.redacted, ['"https://h?q=1"', "3", None]) == ['"[REDACTED]"', "3", None]
+
+
+def test_repairs_leave_whole_escapes(spark):
+    texts = ['{"p": "\\\\q \\n \\u00e9 \\x"}', "```\n[1, 2]\n```", "```json\nno braces", '{"a": "b\\\\"}']
+    got = values(spark, k.repaired_json, texts)
+    assert json.loads(got[0]) == {"p": "\\q \n é \\x"} and got[1] == "[1, 2]" and got[2] == "no braces" and json.loads(got[3]) == {"a": "b\\"}
+
+
+def test_calls_of_literals_only(spark):
+    texts = ["f(a=-1, b=+2.5, c=(1, 2), d={'k': [True, None]})", "f(a=x)", "f(**{'a': 1})", "f(a=1+2)", "f(a=-True)", "g.h(a=1)", "f(a={1, 2})", "f(a=b'x')", "[f(a=1)]", ""]
+    calls = values(spark, rendering.parsed_call, texts)
+    assert (calls[0].name, json.loads(calls[0].arguments)) == ("f", {"a": -1, "b": 2.5, "c": [1, 2], "d": {"k": [True, None]}})
+    assert all((c.name, c.arguments) == (None, None) for c in calls[1:])

@@ -157,3 +157,17 @@ def truncated_prompt(tokens: Column, budget: int) -> Column:
 def response_positions(prompt_length: Column, response_length: Column) -> Column:
     """Positions whose logits predict the response: prompt - 1 up to prompt + response - 2."""
     return F.when(response_length > 0, F.sequence(prompt_length - 1, prompt_length + response_length - 2)).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def script_key(text: Column) -> Column:
+    """Lower-case letters and digits of any script."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
+
+
+def capabilities(mode: Column, memory: Column) -> Column:
+    """What a run of a mode, with memory or without, may do."""
+    train = mode == "train"
+    return F.struct(
+        memory.alias("can_read_memory"), (train & memory).alias("can_write_memory"), (train & memory).alias("can_run_maintenance"),
+        train.alias("can_use_train_split"), (~train).alias("can_use_test_split"), memory.alias("source_memory_read_only"),
+    )

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import ast
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.kernels import strip
+from ledgerloom.functions.kernels import strip, structured_action
 
 
 def lines(*parts: tuple[str, Column]) -> Column:
@@ -124,3 +124,70 @@ def named_values(payload: Column) -> Column:
         return column.map(lambda raw: sorted(set(_names(json.loads(raw)))) if raw is not None else None)
 
     return run(payload)
+
+
+def tip_text(condition: Column, guidance: Column, rationale: Column) -> Column:
+    return lines(("Condition", condition), ("Guidance", guidance), ("Rationale", rationale))
+
+
+def _listed(values: Column) -> Column:
+    """The values in one line, null where there are none."""
+    return F.when(F.size(values) > 0, F.array_join(values, "; "))
+
+
+def skill_text(goal: Column, preconditions: Column, steps: Column, success: Column, recovery: Column) -> Column:
+    """A skill memory; steps are structs of order, instruction and, where there is one, success_signal."""
+    signal = lambda s: F.when(s["success_signal"].isNotNull(), F.concat(F.lit(" Success signal: "), s["success_signal"]))
+    step = F.transform(steps, lambda s: F.concat_ws("", s["order"].cast("string"), F.lit(". "), s["instruction"], signal(s)))
+    return F.concat_ws("\n", lines(("Goal", goal), ("Preconditions", _listed(preconditions))), F.lit("Steps:"), F.array_join(step, "\n"), lines(("Success condition", success), ("Recovery", _listed(recovery))))
+
+
+def observed_text(task: Column, case: Column, episode: Column, group: Column, steps: Column, result: Column, reward: Column, outcome: Column, lesson: Column) -> Column:
+    """A trajectory memory of steps that keep their observation: order, observation, action, result, reward, done, terminated, truncated."""
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("string")
+
+    def step(s: Column) -> Column:
+        told = F.concat(F.lit("   Outcome: reward="), s["reward"].cast("string"), F.lit(", done="), flag(s["done"]), F.lit(", terminated="), flag(s["terminated"]), F.lit(", truncated="), flag(s["truncated"]))
+        order = F.concat(s["order"].cast("string"), F.lit(". "))
+        seen = F.concat_ws("\n", F.concat(order, F.lit("Observation: "), s["observation"]), F.concat(F.lit("   Action: "), s["action"]), F.concat(F.lit("   Result: "), s["result"]), told)
+        plain = F.concat(order, s["action"], F.lit(" [reward="), s["reward"].cast("string"), F.lit(", done="), flag(s["done"]), F.lit("]"))
+        return F.when(s["observation"].isNotNull(), seen).otherwise(plain)
+
+    suffix = F.coalesce(F.concat(F.lit(", outcome_class="), outcome), F.lit(""))
+    ending = F.concat(result, F.lit(" (final_reward="), reward.cast("string"), suffix, F.lit(")"))
+    return F.concat_ws("\n", lines(("Task", task), ("Case", case), ("Episode", episode), ("Task group", group)), F.lit("Observed steps:"), F.array_join(F.transform(steps, step), "\n"), lines(("Result", ending), ("Lesson", lesson)))
+
+
+def retrieval_text(tier: Column, *, condition: Column, guidance: Column, goal: Column, instructions: Column, tool: Column, purpose: Column, method: Column, task: Column, case: Column, outcome: Column, lesson: Column) -> Column:
+    """What a memory of each tier is found by, parts that are missing or empty left out."""
+    filled = lambda *parts: F.concat_ws(" ", *(F.nullif(p, F.lit("")) for p in parts))
+    return (
+        F.when(tier == "tip", F.concat_ws(" ", condition, guidance))
+        .when(tier == "skill", F.concat(goal, F.lit(" "), F.array_join(instructions, " ")))
+        .when(tier == "tool", filled(tool, purpose, method))
+        .when(tier == "trajectory", filled(task, case, outcome, lesson))
+    )
+
+
+def decoded(output: Column, repair: Callable[[Column], Column], fallback: Column) -> Column:
+    """The JSON object in a model's output, else in what `repair` makes of it, else the fallback: struct (value, how)."""
+    fixed = repair(output)
+    whole = lambda c: F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
+    told = lambda c, how: F.struct(c.alias("value"), F.lit(how).alias("how"))
+    return F.when(whole(output), told(output, "parsed")).when(whole(fixed), told(fixed, "repaired")).otherwise(told(fallback, "fallback"))
+
+
+#: A call's name as it stands before its arguments.
+CALL = r"^([A-Za-z_][A-Za-z0-9_]*)\("
+
+
+def refused_action(action: Column, tools: Column) -> Column:
+    """Why an action can't be run: its call, as JSON or as name(...), is malformed or of a tool that isn't there; null if it can."""
+    structured = structured_action(action)
+    name = F.regexp_extract(action, CALL, 1)
+    return (
+        F.when(action.startswith("{") & structured["name"].isNull(), F.lit("malformed_call"))
+        .when(action.startswith("{") & ~F.array_contains(tools, structured["name"]), F.lit("unknown_tool"))
+        .when((name != "") & ~action.endswith(")"), F.lit("malformed_call"))
+        .when((name != "") & ~F.array_contains(tools, name), F.lit("unknown_tool"))
+    )

@@ -107,3 +107,46 @@ def due_rounds(completed: DataFrame, done: DataFrame, period: int) -> DataFrame:
     n = F.floor(F.col("completed") / period).cast("int")
     rounds = completed.where(n >= 1).select("namespace", F.explode(F.sequence(F.lit(1), n)).alias("round"))
     return rounds.join(done.select("namespace", "round"), ["namespace", "round"], "left_anti").orderBy("namespace", "round")
+
+
+def maintenance_records(events: DataFrame, wanted: tuple[str, ...] = ("MaintenanceStarted", "MaintenanceProposed", "MaintenanceCommitted")) -> DataFrame:
+    """One row per maintenance (maintenance_id): its events (position, kind, task_id, snapshot_id, round, trigger, period) folded, with the first rule that they break."""
+    order = F.array_sort(F.collect_list(F.struct("position", "kind")))
+    single = {c: F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\0"))) for c in ("task_id", "snapshot_id", "round")}
+    started = lambda c: F.max(F.when(F.col("kind") == wanted[0], F.col(c))).alias(c)
+    out = events.groupBy("maintenance_id").agg(F.transform(order, lambda x: x["kind"]).alias("kinds"), *(n.alias(f"n_{c}") for c, n in single.items()), *map(started, ("snapshot_id", "round", "trigger", "period")))
+    bad = lambda c: F.coalesce(F.col(c) <= 0, F.lit(True))
+    error = (
+        F.when(F.col("kinds") != F.array(*map(F.lit, wanted)), "incomplete")
+        .when((F.col("n_task_id") > 1) | (F.col("n_snapshot_id") > 1) | (F.col("n_round") > 1), "crosses_provenance")
+        .when(bad("round"), "round").when(bad("trigger"), "trigger").when(bad("period"), "period")
+        .when(F.coalesce(F.trim("snapshot_id") == "", F.lit(True)), "snapshot_id")
+    )
+    return out.select("maintenance_id", "snapshot_id", "round", "trigger", "period", error.alias("error"))
+
+
+def conflicting_proposals(proposals: DataFrame, same: list[str]) -> DataFrame:
+    """Ids whose proposals (id, source_task, ...) differ in any of the columns that must be identical, with the first such column."""
+    counts = [F.count_distinct(F.coalesce(F.to_json(F.struct(c)), F.lit(""))).alias(f"n_{c}") for c in same]
+    out = proposals.groupBy("id").agg(*counts)
+    first = F.coalesce(*(F.when(F.col(f"n_{c}") > 1, F.lit(c)) for c in same))
+    return out.select("id", first.alias("differs")).where("differs is not null")
+
+
+def simulation_steps(messages: DataFrame, key: str, turn: str, role: str, reward: Column, truncated: Column) -> DataFrame:
+    """Decisions (assistant messages) as steps: reward and the end flags on the last one only, and the tool errors up to the next decision."""
+    order = Window.partitionBy(key).orderBy(turn)
+    is_step = F.col(role) == "assistant"
+    rows = messages.withColumn("step", F.sum(is_step.cast("int")).over(order) - 1).where("step >= 0")
+    steps = rows.groupBy(key, "step").agg(F.count_if((F.col(role) == "tool") & F.col("error")).alias("errors"), F.max(reward).alias("reward_"), F.max(truncated).alias("truncated_"))
+    last = F.max("step").over(Window.partitionBy(key)) == F.col("step")
+    out = steps.withColumn("done", last)
+    return out.select(key, "step", "errors", F.when(F.col("done"), F.col("reward_")).otherwise(F.lit(0.0)).alias("reward"), "done", (F.col("done") & ~F.col("truncated_")).alias("terminated"), (F.col("done") & F.col("truncated_")).alias("truncated"))
+
+
+def joined_results(tasks: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Tasks with their results; a task without one stops the query."""
+    there = results.withColumn("there_", F.lit(True))
+    out = tasks.join(there, key, "left")
+    checked = F.when(F.col("there_").isNull(), F.raise_error(F.concat(F.lit("no result for task "), F.col(key).cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    return out.where(checked).drop("there_")

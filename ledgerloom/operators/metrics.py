@@ -92,3 +92,34 @@ def latest(rows: DataFrame, partition: str, order: str, n: int) -> DataFrame:
 def remaining(rows: DataFrame, state: DataFrame, key: str) -> DataFrame:
     """Rows whose key the control table (key, status) doesn't have as completed: what a restart still has to do."""
     return rows.join(state.where("status = 'completed'").select(key), key, "left_anti")
+
+
+def run_overview(episodes: DataFrame, maintenance: DataFrame) -> DataFrame:
+    """Per run the ids of succeeded and of failed tasks in order, total reward, and the maintenance rounds in order."""
+    ids = lambda good: F.array_sort(F.collect_list(F.when(good, F.col("task_id"))))
+    done = F.col("status") == "completed"
+    out = episodes.groupBy("run_id").agg(ids(done & (F.col("reward") > 0)).alias("success_ids"), ids(~done).alias("failed_ids"), F.sum(F.when(done, F.col("reward"))).alias("total_reward"))
+    rounds = maintenance.groupBy("run_id").agg(F.array_sort(F.collect_set("round")).alias("rounds"))
+    return out.join(rounds, "run_id", "left").withColumn("rounds", F.coalesce("rounds", F.expr("cast(array() as array<int>)")))
+
+
+def memory_usage(candidates: DataFrame, tiers: DataFrame) -> DataFrame:
+    """Per tier how many candidates (tier, selected, reason) were retrieved and selected, and how many were left out as incompatible."""
+    counted = candidates.groupBy("tier").agg(F.count_if(F.col("reason").isNull()).alias("retrieved"), F.count_if(F.col("reason").isNull() & F.col("selected")).alias("selected"), F.count_if(F.col("reason").isNotNull()).alias("incompatible"))
+    return tiers.join(counted, "tier", "left").fillna(0)
+
+
+def bundle_revision(kinds: DataFrame, bundle: str) -> DataFrame:
+    """Revision of each bundle of four kinds (bundle, kind, adapter_revision, latest_checkpoint), from canonical JSON with sorted kinds."""
+    text = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1), F.lit("null"))
+    entry = F.concat(text(F.col("kind")), F.lit(':{"adapter_revision":'), text(F.col("adapter_revision")), F.lit(',"latest_checkpoint":'), text(F.col("latest_checkpoint")), F.lit("}"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", entry.alias("entry")))), lambda x: x["entry"]), ",")
+    body = F.concat(F.lit("{"), listed, F.lit("}"))
+    return kinds.groupBy(bundle).agg(F.concat(F.lit("opd-four-lora-"), F.substring(F.sha2(body, 256), 1, 16)).alias("revision"))
+
+
+def committed_prefix(scheduled: DataFrame, committed: DataFrame) -> DataFrame:
+    """Per kind the schedule (kind, sequence_index, id) against committed steps (kind, sequence_index, id): how many are done, and whether they are exactly its prefix."""
+    both = scheduled.select("kind", "sequence_index", F.col("id").alias("wanted")).join(committed.select("kind", "sequence_index", F.col("id").alias("done")), ["kind", "sequence_index"], "full_outer")
+    out = both.groupBy("kind").agg(F.count("done").alias("committed"), F.max(F.when(F.col("done").isNotNull(), F.col("sequence_index"))).alias("last"), F.count_if(F.col("done").isNotNull() & ~F.col("done").eqNullSafe(F.col("wanted"))).alias("other"))
+    return out.select("kind", "committed", ((F.col("other") == 0) & (F.coalesce("last", F.lit(-1)) == F.col("committed") - 1)).alias("is_prefix"))

@@ -101,3 +101,43 @@ def next_generation(state: DataFrame, expected: int) -> DataFrame:
     """Compare-and-set of the one control row: generation, and whether the commit holds."""
     holds = F.col("generation") == expected
     return state.select((F.col("generation") + holds.cast("int")).alias("generation"), holds.alias("committed"))
+
+
+def bound_to_round(commands: DataFrame, round_: Column) -> DataFrame:
+    """Commands with the runtime's round in place of any that a model gave to a merge or a delete."""
+    return commands.withColumn("updated_round", F.when(F.col("kind").isin("merge", "delete"), round_).otherwise(F.col("updated_round")))
+
+
+def generation_commits(states: DataFrame, commits: DataFrame) -> DataFrame:
+    """Compare-and-set of control rows (namespace, generation) by commits (namespace, expected, completed_tasks, snapshot_id).
+
+    A commit holds if it expects the generation that is there; of several that do, the one of the least snapshot id.
+    Result: namespace, generation, completed_tasks, snapshot_id, committed; namespaces without a commit that holds keep their generation.
+    """
+    fitting = commits.join(states, "namespace").where(F.col("expected") == F.col("generation"))
+    won = fitting.groupBy("namespace").agg(F.min(F.struct("snapshot_id", "completed_tasks")).alias("won"))
+    out = states.join(won, "namespace", "left")
+    return out.select("namespace", (F.col("generation") + F.col("won").isNotNull().cast("int")).alias("generation"), "won.completed_tasks", "won.snapshot_id", F.col("won").isNotNull().alias("committed"))
+
+
+def merge_payloads(sources: DataFrame, contents: DataFrame) -> DataFrame:
+    """Merges (merge_id, tier, id, payload JSON, ranks as in merged_payload) with contents (merge_id, content): the representative's payload with its main text replaced."""
+    picked = merged_payload(sources, F.lit(None).cast("string")).drop("replacement")
+    payloads = sources.select("merge_id", F.col("id").alias("representative"), "payload")
+    out = picked.join(payloads, ["merge_id", "representative"]).join(contents, "merge_id")
+    fields = F.from_json("payload", "map<string, variant>")
+    rest = F.map_filter(fields, lambda k, v: k != F.col("replaced_field"))
+    made = out.withColumn("content_of", F.array("content")).withColumn("payload", F.when(F.col("error").isNull(), F.to_json(F.map_concat(rest, F.create_map("replaced_field", F.variant_get(F.parse_json(F.to_json("content_of")), "$[0]", "variant"))))))
+    return made.select("merge_id", "representative", "tier", "payload", "error")
+
+
+def committed_batch(items: DataFrame, batch: DataFrame, faults: DataFrame) -> tuple[DataFrame, list[str]]:
+    """All or nothing: with no fault, the items of the tiers that the batch (rows like items) touches, and these tiers; else nothing.
+
+    Rows of the batch replace items of the same id. Only touched tiers are to be written again.
+    """
+    if not faults.isEmpty():
+        return items.limit(0), []
+    tiers = sorted(r.tier for r in batch.select("tier").distinct().collect())  # four at most
+    kept = items.where(F.col("tier").isin(*tiers)).join(batch.select("id"), "id", "left_anti") if tiers else items.limit(0)
+    return kept.select(items.columns).unionByName(batch.select(items.columns)), tiers

@@ -1,5 +1,15 @@
 """Retrieval of memories by vector: top-k, greedy diversity re-ranking, per-tier quotas.
 
+`nearest`, `mmr_over` and `tiered_over` take queries and items and never build
+their pairs: each task multiplies its batches of items with a block of queries
+of bounded bytes, and hands on only the best of each query. Re-ranking is lazy:
+once something is picked, the score of a candidate can only fall, so a pool of
+the POOL best by their last score is enough until a pick would score below the
+pool's last; then one more pass fills the pool again. So picks are exact over
+all items, in a few passes however many are asked for.
+
+The other functions work on scored pairs.
+
 A batch of queries is one plan: the queries' side is small by contract and
 checked before it is broadcast (`QUERY_LIMIT` rows); beyond it, blocks of
 queries are joined one after the other. Candidates are cut to the best `pool`
@@ -8,6 +18,10 @@ of each query before any list is built, so a list is bounded by the pool.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -179,6 +193,177 @@ def tiered_rounds(candidates: DataFrame, top: int, quotas: dict[str, int] = QUOT
     return _as_ranks(candidates, _greedy(rest, {"all": top}, {"all": overall}, whole))
 
 
+#: Candidates that one pass keeps for each query, and bytes of queries and picks that are sent to every task.
+POOL, HELD_BYTES = 64, 32 << 20
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    matrix = np.stack(vectors.to_numpy()).astype(float)
+    return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+
+def _blocks(queries: DataFrame, held: int) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and unit vectors of the queries, in blocks of at most HELD_BYTES with `held` vectors for each."""
+    facts = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dimension")).first()
+    n = -(-facts.n * (facts.dimension or 0) * 8 * (held + 1) // HELD_BYTES)
+    for b in range(n):
+        rows = queries.select("query_id", as_doubles(F.col("vector")).alias("vector")).where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b).orderBy("query_id").toPandas()
+        if len(rows):
+            yield rows["query_id"].tolist(), _units(rows["vector"])
+
+
+def _first(score: np.ndarray, similarity: np.ndarray, ids: np.ndarray, m: int) -> np.ndarray:
+    """Places of the m best: by score, then similarity, then id; minus infinity is never one."""
+    at = np.flatnonzero(score > -np.inf)
+    if len(at) > m:
+        at = at[score[at] >= np.partition(score[at], len(at) - m)[len(at) - m]]
+    return at[np.lexsort((ids[at], -similarity[at], -score[at]))][:m]
+
+
+def _schema(items: DataFrame, queries: DataFrame) -> tuple[str, str]:
+    return dict(queries.dtypes)["query_id"], dict(items.dtypes)["id"]
+
+
+def nearest(queries: DataFrame, items: DataFrame, k: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The k most similar items (id, vector) of each query (query_id, vector), by similarity and then id: query_id, id, carried columns, similarity, rank."""
+    query_kind, id_kind = _schema(items, queries)
+    kinds = dict(items.dtypes)
+    schema = ", ".join([f"query_id {query_kind}", f"id {id_kind}", *(f"{c} {kinds[c]}" for c in carry), "similarity double"])
+    rows, out = items.select("id", "vector", *carry), None
+
+    def over(names: list, matrix: np.ndarray):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if len(frame):
+                    similarity, ids = matrix @ _units(frame["vector"]).T, frame["id"].to_numpy()
+                    best = [_first(row, row, ids, k) for row in similarity]
+                    at, q = np.concatenate(best), np.repeat(np.arange(len(names)), [len(b) for b in best])
+                    yield pd.DataFrame({"query_id": [names[i] for i in q], "id": ids[at], **{c: frame[c].to_numpy()[at] for c in carry}, "similarity": similarity[q, at]})
+
+        return run
+
+    for names, matrix in _blocks(queries, 0):
+        one = rows.mapInPandas(over(names, matrix), schema)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = items.sparkSession.createDataFrame([], schema)
+    return top_k(out, k)
+
+
+class _Held:
+    """Picks of a block of queries so far: ids and vectors by query and part, and what each part still wants."""
+
+    def __init__(self, names: list, matrix: np.ndarray, quota: dict[str, int], weights: dict[str, float]) -> None:
+        self.names, self.matrix, self.quota, self.weights = names, matrix, quota, weights
+        self.picks: dict[tuple, list[tuple]] = {}
+        self.closed: set[tuple] = set()
+
+    def open(self, key: tuple) -> int:
+        return 0 if key in self.closed else self.quota[key[1]] - len(self.picks.get(key, ()))
+
+    def scores(self, key: tuple, similarity: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        own, weight = self.picks.get(key, ()), self.weights[key[1]]
+        if not own:
+            return weight * similarity
+        near = (np.stack([v for _, v in own]) @ vectors.T).max(0)
+        return np.where(np.isin(ids, [i for i, _ in own]), -np.inf, weight * similarity - (1 - weight) * near)
+
+
+def _pass(items: DataFrame, held: _Held, schema: str) -> DataFrame:
+    """Of each open query and part the POOL best candidates (only one while nothing is picked), best first."""
+    size = lambda key: POOL if held.picks.get(key) else 1
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            vectors, ids, parts = _units(frame["vector"]), frame["id"].to_numpy(), frame["part"].to_numpy()
+            for part in held.quota:
+                mine = np.flatnonzero(parts == part) if part != "all" else np.arange(len(ids))
+                for q, name in enumerate(held.names):
+                    if len(mine) and held.open((name, part)) > 0:
+                        similarity = vectors[mine] @ held.matrix[q]
+                        score = held.scores((name, part), similarity, vectors[mine], ids[mine])
+                        best = _first(score, similarity, ids[mine], size((name, part)))
+                        yield pd.DataFrame({"query_id": [name] * len(best), "part": part, "id": ids[mine][best], "similarity": similarity[best], "score": score[best], "vector": pd.Series(list(vectors[mine][best]), dtype=object)})
+
+    found = items.mapInPandas(run, schema)
+    order = Window.partitionBy("query_id", "part").orderBy(F.desc("score"), F.desc("similarity"), "id")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= POOL)
+
+
+def _settle(pools: DataFrame, held: _Held, query_kind: str, id_kind: str) -> list:
+    """The picks that the pools decide, in order: each beats whatever was left out of its pool."""
+
+    def run(pool: pd.DataFrame) -> pd.DataFrame:
+        pool = pool.sort_values("place", kind="stable")
+        key = (pool["query_id"].iloc[0], pool["part"].iloc[0])
+        key = (key[0].item() if hasattr(key[0], "item") else key[0], key[1])
+        ids, similarity, vectors = pool["id"].to_numpy(), pool["similarity"].to_numpy(), np.stack(pool["vector"].to_numpy())
+        whole = len(pool) < POOL and bool(held.picks.get(key))  # nothing was left out
+        bound = (-pool["score"].iloc[-1], -similarity[-1], ids[-1])
+        own = _Held([key[0]], held.matrix[:0], held.quota, held.weights)
+        own.picks[key] = list(held.picks.get(key, ()))
+        out = []
+        for _ in range(held.open(key)):
+            score = own.scores(key, similarity, vectors, ids)
+            best = _first(score, similarity, ids, 1)
+            if not len(best) or not whole and (-score[best[0]], -similarity[best[0]], ids[best[0]]) > bound:
+                break
+            own.picks[key].append((ids[best[0]], vectors[best[0]]))
+            out.append(best[0])
+            if not held.picks.get(key):
+                break  # the first pick's pool is itself
+        n = len(out)
+        return pd.DataFrame({"query_id": [key[0]] * n, "part": [key[1]] * n, "place": range(n), "id": ids[out], "vector": pd.Series(list(vectors[out]), dtype=object), "last": [whole] * n})
+
+    found = pools.groupBy("query_id", "part").applyInPandas(run, f"query_id {query_kind}, part string, place int, id {id_kind}, vector array<double>, last boolean")
+    return found.orderBy("query_id", "part", "place").collect()  # at most what a block of queries may hold
+
+
+def _picked(items: DataFrame, held: _Held, query_kind: str, id_kind: str) -> None:
+    schema = f"query_id {query_kind}, part string, id {id_kind}, similarity double, score double, vector array<double>"
+    while any(held.open((n, p)) > 0 for n in held.names for p in held.quota):
+        found = _settle(_pass(items, held, schema), held, query_kind, id_kind)
+        seen = set()
+        for row in found:
+            held.picks.setdefault((row.query_id, row.part), []).append((row.id, np.asarray(row.vector)))
+            seen.add((row.query_id, row.part))
+            if row.last:
+                held.closed.add((row.query_id, row.part))
+        held.closed |= {(n, p) for n in held.names for p in held.quota if (n, p) not in seen}
+
+
+def _ranks(spark, rows: list[tuple], query_kind: str, id_kind: str) -> DataFrame:
+    return spark.createDataFrame(rows, f"query_id {query_kind}, id {id_kind}, rank int")
+
+
+def mmr_over(queries: DataFrame, items: DataFrame, k: int, weight: float) -> DataFrame:
+    """`mmr` of every query (query_id, vector) over all items (id, vector): query_id, id, rank."""
+    query_kind, id_kind = _schema(items, queries)
+    rows, out = items.select("id", "vector", F.lit("all").alias("part")), []
+    for names, matrix in _blocks(queries, k):
+        held = _Held(names, matrix, {"all": k}, {"all": weight})
+        _picked(rows, held, query_kind, id_kind)
+        out.append([(n, i, r + 1) for n in names for r, (i, _) in enumerate(held.picks.get((n, "all"), ()))])
+    return _ranks(items.sparkSession, [row for block in out for row in block], query_kind, id_kind)
+
+
+def tiered_over(queries: DataFrame, items: DataFrame, top: int, quotas: dict[str, int] = QUOTAS, lambdas: dict[str, float] = LAMBDAS, overall: float = GLOBAL_LAMBDA) -> DataFrame:
+    """`tiered` of every query over all items (id, vector, tier): the tiers pick side by side, then the global fill."""
+    query_kind, id_kind = _schema(items, queries)
+    quota = {t: n for t, n in scaled_quotas(quotas, top).items() if n > 0}
+    rows, out = items.select("id", "vector", F.col("tier").alias("part")), []
+    for names, matrix in _blocks(queries, 2 * top):
+        own = _Held(names, matrix, quota, {t: lambdas.get(t, 0.75) for t in quota})
+        _picked(rows, own, query_kind, id_kind)
+        fill = _Held(names, matrix, {"all": top}, {"all": overall})
+        fill.picks = {(n, "all"): [p for t in RETRIEVAL_ORDER for p in own.picks.get((n, t), ())] for n in names}
+        _picked(rows, fill, query_kind, id_kind)
+        out += [(n, i, r + 1) for n in names for r, (i, _) in enumerate(fill.picks[n, "all"])]
+    return _ranks(items.sparkSession, out, query_kind, id_kind)
+
+
 def cache_lookup(texts: DataFrame, cache: DataFrame, revision: str) -> tuple[DataFrame, DataFrame]:
     """Texts (pos, text) against a cache (cache_key, embedding): hits in input order (pos, text, embedding), and distinct misses (cache_key, text)."""
     keyed = texts.withColumn("cache_key", F.sha2(F.concat(F.lit(revision), F.lit("\0"), F.col("text")), 256))

@@ -121,3 +121,104 @@ def injected_tools(tools: DataFrame, memories: DataFrame, limit: int = 1600, mos
     texts = chosen.groupBy("tool_name").agg(F.array_sort(F.collect_list(F.struct("place", F.substring("text", 1, limit).alias("text")))).alias("own"))
     joined = tools.join(texts, "tool_name", "left")
     return joined.select("tool_name", F.concat_ws("\n", "description", F.array_join(F.transform("own", lambda x: x["text"]), "\n")).alias("description"))
+
+
+def memory_histories(rounds: DataFrame, selections: DataFrame) -> DataFrame:
+    """Of each maintenance round (round, position) and memory how many of the episodes (memory_id, position, reward) up to it selected it, and how many of these succeeded.
+
+    A selection counts from the first round at or after it; running sums within a memory then give all rounds from there on.
+    """
+    marks = rounds.select("position", F.col("round").alias("mark"))
+    steps = selections.select("position", F.lit(None).cast("long").alias("mark")).distinct().unionByName(marks.select("position", F.col("mark").cast("long")))
+    width = 1 << 16
+    steps = steps.withColumn("range", F.floor(F.col("position") / width))
+    low = steps.groupBy("range").agg(F.min("mark").alias("own"))
+    later = low.withColumn("after", F.min("own").over(Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing))).select("range", "after")
+    ahead = F.min("mark").over(Window.partitionBy("range").orderBy("position").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    first = steps.withColumn("ahead", ahead).join(F.broadcast(later), "range").select("position", F.coalesce("ahead", "after").alias("round")).where("round is not null").distinct()
+    counted = selections.join(first, "position").groupBy("memory_id", "round").agg(F.count("*").alias("n"), F.count_if(F.col("reward") == 1.0).alias("good"))
+    so_far = Window.partitionBy("memory_id").orderBy("round")
+    return counted.select("memory_id", "round", F.sum("n").over(so_far).alias("selected"), F.sum("good").over(so_far).alias("succeeded"))
+
+
+def skipped(episodes: DataFrame, candidates: DataFrame, written: DataFrame, scores: DataFrame, maintenance: DataFrame, threshold: float = 0.01) -> DataFrame:
+    """How often each of six reasons kept an example from being made: (reason, n).
+
+    episodes (episode_id, reward, n_steps), candidates (episode_id, memory_id, selected), written (episode_id, memory_id), scores (memory_id, value, status).
+    """
+    value = scores.select("memory_id", "value")
+    best = candidates.join(value, "memory_id").groupBy("episode_id").agg(F.max(F.abs("value")).alias("most"), F.max(F.when(F.col("selected"), F.col("value"))).alias("chosen"))
+    later = written.join(value, "memory_id", "left").groupBy("episode_id").agg(F.max(F.abs("value")).alias("wrote"), F.lit(True).alias("writes"))
+    rows = episodes.join(best, "episode_id", "left").join(later, "episode_id", "left")
+    low = lambda c: F.coalesce(F.col(c) < threshold, F.lit(True))
+    count = {
+        "no_scored_candidate": F.count_if(low("most")), "no_qualified_selected_memory": F.count_if(low("chosen")),
+        "no_future_write_evidence": F.count_if(F.col("writes").isNotNull() & low("wrote")), "act_not_successful_or_empty_trajectory": F.count_if((F.col("reward") != 1.0) | (F.col("n_steps") == 0)),
+    }
+    told = rows.agg(*(c.alias(name) for name, c in count.items())).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, count)), F.array(*count))).alias("reason", "n"))
+    thin = scores.agg(F.count_if(F.col("status") == "insufficient_evidence").alias("n")).select(F.lit("insufficient_selected_control").alias("reason"), "n")
+    none = maintenance.agg((F.count("*") == 0).cast("long").alias("n")).select(F.lit("no_committed_maintenance").alias("reason"), "n")
+    return told.unionByName(thin).unionByName(none)
+
+
+def episode_faults(candidates: DataFrame, snapshot: DataFrame, selected: DataFrame, written: DataFrame, after: DataFrame, turns: DataFrame, observations: DataFrame) -> DataFrame:
+    """(episode_id, fault) of all integrity joins that an evidence row stands on.
+
+    candidates and selected (episode_id, memory_id, ...), snapshots as in `with_snapshot` and `write_errors` (written with episode_id),
+    turns (episode_id, turn), observations (episode_id, turn, observation, next_observation).
+    """
+    from ledgerloom.operators import folding
+
+    told = lambda rows, name: rows.select("episode_id", (F.lit(name) if isinstance(name, str) else name).alias("fault"))
+    parts = [
+        told(with_snapshot(candidates, snapshot).where("error is not null"), F.col("error")),
+        told(missing_from(selected, candidates, ["episode_id", "memory_id"]), "selected_not_retrieved"),
+        told(written.select("id", "episode_id").join(write_errors(written.select("id", "disposition", "content"), snapshot, after), "id"), F.col("error")),
+        told(folding.contiguous(turns, ["episode_id"], "turn").where("not contiguous"), "turn_gap"),
+        told(folding.chained(observations, "episode_id", "turn", "observation", "next_observation"), "observation_chain"),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
+def maintenance_faults(shown: DataFrame, snapshot: DataFrame, prior: DataFrame, episodes: DataFrame, records: DataFrame) -> DataFrame:
+    """(maintenance_id, fault): shown items (maintenance_id, id, shown) that don't match the snapshot, prior episodes (maintenance_id, episode_id) that aren't there or come later than the round's position."""
+    unlike = prefix_matched(shown.select("id", "shown").distinct(), snapshot).where("not matches").select("id")
+    first = shown.join(unlike, "id").select("maintenance_id", F.lit("content_differs").alias("fault"))
+    known = prior.join(episodes.select("episode_id", F.col("position").alias("at")), "episode_id", "left").join(records.select("maintenance_id", "position"), "maintenance_id")
+    second = known.where("at is null").select("maintenance_id", F.lit("unknown_episode").alias("fault"))
+    third = known.where("at > position").select("maintenance_id", F.lit("later_episode").alias("fault"))
+    return first.unionByName(second).unionByName(third).distinct()
+
+
+def ledger_faults(evidence: DataFrame, expected: DataFrame) -> DataFrame:
+    """(run_id, fault) of a ledger (run_id, kind, position, round) against expected counts (run_id, episodes, rounds): counts, one position each, rounds 1 .. n in order."""
+    own = evidence.groupBy("run_id").agg(
+        F.count_if(F.col("kind") == "episode").alias("n_episodes"), F.count_if(F.col("kind") == "maintenance").alias("n_rounds"),
+        (F.count_distinct("position") < F.count("*")).alias("shared"), F.min("round").alias("low"), F.max("round").alias("high"), F.count_distinct("round").alias("rounds_seen"),
+    )
+    order = Window.partitionBy("run_id").orderBy("position")
+    back = evidence.where("kind = 'maintenance'").withColumn("last", F.lag("round").over(order)).where("last >= round").select("run_id").distinct().withColumn("back", F.lit(True))
+    both = expected.join(own, "run_id", "full_outer").join(back, "run_id", "left")
+    faults = F.array(
+        F.when(~F.col("episodes").eqNullSafe(F.col("n_episodes")), F.lit("episode_count")), F.when(~F.col("rounds").eqNullSafe(F.col("n_rounds")), F.lit("round_count")),
+        F.when(F.col("shared"), F.lit("shared_position")), F.when((F.col("n_rounds") > 0) & ((F.col("low") != 1) | (F.col("high") != F.col("rounds_seen"))), F.lit("round_gap")), F.when(F.col("back"), F.lit("round_order")),
+    )
+    return both.select("run_id", F.explode(F.array_compact(faults)).alias("fault"))
+
+
+def public_candidate(rows: DataFrame) -> DataFrame:
+    """What a prompt may show of a candidate."""
+    return rows.select("episode_id", F.struct("memory_id", "tier", "version", "content", "polarity", "rank").alias("candidate"))
+
+
+def public_memory(rows: DataFrame) -> DataFrame:
+    """What maintenance may show of a memory: no scores, embeddings or sources."""
+    return rows.select(F.struct("id", "tier", "version", "status", "content").alias("memory"))
+
+
+def public_step(rows: DataFrame) -> DataFrame:
+    """What a prompt may show of a step."""
+    return rows.select("episode_id", F.struct("turn", "observation", "action").alias("step"))

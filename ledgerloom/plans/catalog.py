@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.plans import queries_episodes, queries_memory, queries_stores, queries_texts, queries_views  # noqa: F401  they register their queries
+from ledgerloom.plans import queries_episodes, queries_memory, queries_rules, queries_stores, queries_texts, queries_views  # noqa: F401  they register their queries
 from ledgerloom.plans.registry import QUERIES, Plan
 
 

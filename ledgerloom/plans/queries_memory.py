@@ -76,12 +76,11 @@ ELIGIBLE = "status = 'active' AND NOT (polarity = 'caution' AND tier IN ('skill'
 SIMILAR = f"q AS (SELECT id AS query_id, vector AS qv FROM items WHERE id % 100 = 0), c AS (SELECT query_id, id, tier, vector, list_cosine_similarity(qv, vector) AS similarity FROM items, q WHERE {ELIGIBLE})"
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Eligible items with fresh vectors, scored for every hundredth item as a query."""
+def searches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every hundredth item as a query, and the eligible items with fresh vectors."""
     items = memory_items(spark, d)
     ok = k.eligible(F.col("polarity"), F.col("tier")) & (F.col("status") == "active") & (F.col("revision") == "rev-0") & k.valid_vector(F.col("vector"), 64)
-    queries = items.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
-    return retrieval.scored(queries, items.where(ok).select("id", "tier", "vector"))
+    return items.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), items.where(ok).select("id", "tier", "vector")
 
 
 @query(
@@ -90,7 +89,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {ITEMS}, {SIMILAR} SELECT query_id, id, tier, round(similarity, 5) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM c) WHERE rank <= 10",
 )
 def retrieve_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.top_k(candidates(spark, d), 10).select("query_id", "id", "tier", F.round("similarity", 5).alias("similarity"), "rank")
+    return retrieval.nearest(*searches(spark, d), 10, ("tier",)).select("query_id", "id", "tier", F.round("similarity", 5).alias("similarity"), "rank")
 
 
 POOL = "p AS (SELECT query_id, id, tier, list_transform(vector, lambda x: x / sqrt(list_dot_product(vector, vector))) AS vector, similarity FROM c)"
@@ -123,12 +122,12 @@ def _tiered_sql() -> str:
 
 @query("retrieve_mmr", "TK2", "WITH {}, {}, {}, {}, {} SELECT query_id, id, rank FROM {}".format(ITEMS, SIMILAR, POOL, NONE, *_picks("m", "none", "p", 5, 0.65)))
 def retrieve_mmr(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.mmr_rounds(candidates(spark, d).select("query_id", "id", "similarity", "vector"), 5, 0.65)
+    return retrieval.mmr_over(*searches(spark, d), 5, 0.65)
 
 
 @query("retrieve_tiered", "TK3", _tiered_sql())
 def retrieve_tiered(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.tiered_rounds(candidates(spark, d), 8, {"tip": 2, "skill": 2, "tool": 1, "trajectory": 1})
+    return retrieval.tiered_over(*searches(spark, d), 8, {"tip": 2, "skill": 2, "tool": 1, "trajectory": 1})
 
 
 QUOTA_ROWS = "(VALUES ('tip', 18), ('skill', 18), ('tool', 6), ('trajectory', 4)) AS t(tier, quota)"
@@ -155,7 +154,7 @@ def neardup_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("neardup_blocked", "JN6 JN7", f"WITH {ITEMS} SELECT a.id AS left_id, b.id AS right_id, round(list_cosine_similarity(a.vector, b.vector), 5) AS similarity FROM items a JOIN items b ON a.id < b.id WHERE list_cosine_similarity(a.vector, b.vector) >= 0.35")
 def neardup_blocked(spark: SparkSession, d: str) -> DataFrame:
-    pairs = neardup.near_pairs_blocked(memory_items(spark, d), 0.35, 4)
+    pairs = neardup.near_pairs(memory_items(spark, d), 0.35, [])
     return pairs.select("left_id", "right_id", F.round("similarity", 5).alias("similarity"))
 
 
@@ -166,9 +165,8 @@ def neardup_blocked(spark: SparkSession, d: str) -> DataFrame:
     SELECT left_id, right_id, round(similarity, 5) AS similarity FROM p ORDER BY p.similarity DESC, left_id, right_id LIMIT 50""",
 )
 def redundancy_pairs(spark: SparkSession, d: str) -> DataFrame:
-    pairs = neardup.near_pairs(memory_items(spark, d), -2.0, ["revision"])
-    pairs = pairs.withColumn("similarity", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "similarity")))
-    return neardup.best_pairs(pairs, 50).select("left_id", "right_id", F.round("similarity", 5).alias("similarity"))
+    pairs = neardup.near_pairs(memory_items(spark, d), -1.0, ["revision"], best=50)
+    return pairs.select("left_id", "right_id", F.round("similarity", 5).alias("similarity"))
 
 
 TOP_PAIRS = "top AS (SELECT * FROM pairs ORDER BY similarity DESC, left_id, right_id LIMIT 24)"
@@ -177,8 +175,7 @@ ENDS = """ends AS (SELECT id, row_number() OVER (ORDER BY min(turn)) - 1 AS posi
 
 
 def top_endpoints(spark: SparkSession, d: str) -> DataFrame:
-    pairs = neardup.near_pairs(memory_items(spark, d).where("status = 'active'"), -2.0, ["tier"])
-    return neardup.endpoints(neardup.best_pairs(pairs, 24))
+    return neardup.endpoints(neardup.near_pairs(memory_items(spark, d).where("status = 'active'"), -1.0, ["tier"], best=24))
 
 
 @query("neardup_endpoints", "JN6", f"WITH {ITEMS}, {PAIRS}, {TOP_PAIRS}, {ENDS} SELECT * FROM ends")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,12 +15,22 @@ def read(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFram
 
 
 def faults(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line, fault) of lines that aren't JSON objects. Each file is one row here, so this is for finding a fault, not for bulk reads."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split("value", "\n")).alias("line", "text")).where(F.trim("text") != "")
-    parsed = F.try_parse_json("text")
-    fault = F.when(parsed.isNull(), "not_json").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not_an_object")
-    return lines.select("path", (F.col("line") + 1).alias("line"), fault.alias("fault")).where("fault is not null")
+    """(path, line, fault) of lines that aren't JSON objects; line counts from 1.
+
+    Files are read line by line in splits of any size. Only where there is a
+    fault, the file's lines are numbered, in ranges of their byte order.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    parsed = F.try_parse_json("value")
+    fault = F.when(F.trim("value") == "", None).when(parsed.isNull(), "not_json").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "not_an_object")
+    marked = lines.select("path", "block", "at", fault.alias("fault"))
+    bad = marked.where("fault is not null")
+    within = Window.partitionBy("path", "block").orderBy("at")
+    numbered = marked.join(F.broadcast(bad.select("path").distinct()), "path").withColumn("place", F.row_number().over(within))
+    counts = numbered.groupBy("path", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("path", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    return numbered.where("fault is not null").join(counts, ["path", "block"]).select("path", (F.col("before") + F.col("place")).alias("line"), "fault")
 
 
 def unknown_fields(rows: DataFrame, column: str, known: list[str]) -> DataFrame:

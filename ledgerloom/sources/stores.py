@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.kernels import TIERS, stable_id
-from ledgerloom.functions.leakage import canonical_json
-from ledgerloom.sources import scratch
+from ledgerloom.functions.leakage import canonical_json, redacted
+from ledgerloom.sources import jsonl, scratch
 
 SCHEMA_VERSION = 1
 ITEM = "id string, tier string, content string, status string, version int, created_round int, updated_round int, source_task_ids array<string>"
@@ -113,3 +113,83 @@ def source_runs(spark: SparkSession, paths: list[str], schema: str) -> DataFrame
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("run_ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     place = F.row_number().over(Window.partitionBy("run_ordinal").orderBy("position")) - 1
     return rows.withColumn("place", place).join(F.broadcast(before), "run_ordinal").withColumn("episode_index", F.col("before") + F.col("place")).drop("before", "place")
+
+
+#: What a snapshot's or a run's manifest tells of each file.
+MANIFEST = "name string, bytes long, sha256 string"
+
+
+def write_manifest(spark: SparkSession, folder: str, target: str) -> None:
+    """Names, sizes and digests of a folder's data files, as JSON Lines beside it; files are read where they lie, none on the driver."""
+    facts = jsonl.file_facts(spark, folder).where(~F.col("name").rlike(r"^[._]"))
+    jsonl.write_canonical(facts, target, ["name"])
+
+
+def manifest_faults(spark: SparkSession, folder: str, target: str) -> DataFrame:
+    """(name, fault) of files that the manifest doesn't have, that are gone, or whose content isn't that of the manifest."""
+    now = jsonl.file_facts(spark, folder).where(~F.col("name").rlike(r"^[._]")).select("name", F.col("bytes").alias("is_bytes"), F.col("sha256").alias("is_sha256"))
+    both = jsonl.read(spark, target, MANIFEST).join(now, "name", "full_outer")
+    fault = F.when(F.col("sha256").isNull(), "unexpected").when(F.col("is_sha256").isNull(), "missing").when((F.col("sha256") != F.col("is_sha256")) | (F.col("bytes") != F.col("is_bytes")), "changed")
+    return both.select("name", fault.alias("fault")).where("fault is not null")
+
+
+class ReadOnlyStore:
+    """A snapshot that can be read and nothing else: writes are refused before any job starts."""
+
+    def __init__(self, spark: SparkSession, root: str, name: str) -> None:
+        self._items, self.name = read_snapshot(spark, root, name), name
+
+    def items(self) -> DataFrame:
+        return self._items
+
+    def _refused(self, *_: object, **__: object) -> None:
+        raise PermissionError(f"snapshot {self.name} is read-only")
+
+    add = merge = delete = update = commit = _refused
+
+
+def snapshot_path(value: str, namespace: str, root: str) -> str:
+    """The folder of a snapshot given as a path under the root, or by its name in a namespace; nothing outside the root."""
+    from posixpath import isabs, normpath
+
+    if not value.strip() or not namespace.strip():
+        raise ValueError("a snapshot needs a name and a namespace")
+    base = normpath(root)
+    path = normpath(value if isabs(value) or "://" in value else f"{base}/{namespace}/snapshots/{value}")
+    if not path.startswith(base + "/"):
+        raise ValueError(f"{value} leads out of {root}")
+    return path
+
+
+def write_run_record(spark: SparkSession, record: str, path: str) -> None:
+    """One redacted, canonical JSON record; a record that is there is never replaced."""
+    if scratch.exists(spark, path):
+        raise FileExistsError(path)
+    row = spark.createDataFrame([(record,)], "record string").select(redacted(F.col("record")).alias("value"))
+    row.coalesce(1).write.mode("errorifexists").text(path)
+
+
+def read_run(spark: SparkSession, path: str, record_schema: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The record and the episodes of a source run: a folder with exactly run.json and episodes.jsonl."""
+    names = set(scratch.listed(spark, path))
+    if names != {"run.json", "episodes.jsonl"}:
+        raise ValueError(f"{path} has {sorted(names)}")
+    return spark.read.schema(record_schema).option("mode", "FAILFAST").json(f"{path}/run.json"), jsonl.read(spark, f"{path}/episodes.jsonl", schema)
+
+
+def cache_key(revision: Column, text: Column) -> Column:
+    return F.sha2(F.concat(revision, F.lit("\0"), text), 256)
+
+
+def cache_merged(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """An embedding cache (key, vector) with new vectors put in; of equal keys the one that is there stays."""
+    fresh = new.groupBy("key").agg(F.min("vector").alias("vector")).join(cache.select("key"), "key", "left_anti")
+    return cache.select("key", "vector").unionByName(fresh)
+
+
+def count_checked(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """The vectors (key, vector) of wanted texts (key); a key without one, or with two, stops the query."""
+    counted = found.groupBy("key").agg(F.count("*").alias("n_"), F.min("vector").alias("vector"))
+    both = wanted.join(counted, "key", "left")
+    wrong = F.raise_error(F.concat(F.lit("vectors of "), "key", F.lit(": "), F.coalesce(F.col("n_"), F.lit(0)).cast("string"))).cast("boolean")
+    return both.where(F.when(F.coalesce(F.col("n_"), F.lit(0)) == 1, F.lit(True)).otherwise(wrong)).drop("n_")

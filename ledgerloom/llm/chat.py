@@ -126,9 +126,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = "conv_id long, turn long, role string, text string"
+    planted = F.inline(F.array(*(F.struct(F.lit(c).cast("long").alias("conv_id"), F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(x).alias("text")) for c, t, r, x in ADVERSARIAL)))
     rows = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "cast(role as string) role", "cast(text as string) text")
-    rows = rows.unionByName(spark.createDataFrame(ADVERSARIAL, plain))
+    rows = rows.unionByName(spark.range(1).select(planted))
     back = read_back(format_chat(text_parts(rows)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

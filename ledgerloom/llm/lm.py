@@ -16,7 +16,9 @@ meet their counts without a row per token.
 
 N-grams are told apart by fragment and KEY_BITS bits of hash; the fragments
 follow the session's shuffle partitions. The evidence for the weights is a
-histogram over buckets and estimates in powers of two, of bounded size.
+histogram over buckets and estimates in powers of two. Up to CELLS of its cells
+are taken to the driver; a larger one stays a table, and each round of
+expectation-maximisation is an aggregation that gives the same sums.
 
 Cases: null and empty texts hold one end token; null ids are in the training
 part; repeated rows count as often as they stand; without training documents
@@ -27,7 +29,7 @@ gives no rows.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +45,12 @@ FOLDS, HELD_OUT, DEV = 7, 2, 3
 TRAIN_FOLD, DEV_FOLD, HELD_OUT_FOLD = range(3)
 ORDER = 3
 BLOCK_BYTES = 2 << 20
-KEY_BITS = 40
+#: Bits of hash that tell words, and n-grams of two and three, apart within a fragment.
+KEY_BITS = (0, 48, 40, 40)
 #: Context frequencies 0, 1, 2-3, 4-7 ... and the last open.
 LEVELS = 14
 ROUNDS = 40
+CELLS = 2_000_000
 #: No weight of a usable estimate falls under this.
 LEAST_WEIGHT = 1e-6
 
@@ -121,10 +125,10 @@ def grams(token: np.ndarray, first: np.ndarray, rank: int) -> np.ndarray:
     return tk.mix(out + np.uint64(rank))
 
 
-def _places(gram: np.ndarray, fragments: int) -> np.ndarray:
+def _places(gram: np.ndarray, fragments: int, rank: int) -> np.ndarray:
     """Fragment and key of each n-gram in one number."""
     part = (gram >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
-    return part << np.uint64(KEY_BITS) | (gram & np.uint64((1 << KEY_BITS) - 1))
+    return part << np.uint64(KEY_BITS[rank]) | (gram & np.uint64((1 << KEY_BITS[rank]) - 1))
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -162,12 +166,12 @@ def _send(fragments: int):
                 token, first = tokens_of(_texts(batch, k))
                 fold, block = batch["fold"][k].as_py(), batch["block"][k].as_py()
                 for rank in range(1, ORDER + 1):
-                    place = np.sort(_places(grams(token, first, rank), fragments))
+                    place, bits = np.sort(_places(grams(token, first, rank), fragments, rank)), KEY_BITS[rank]
                     start = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
                     count = np.diff(np.append(start, len(place)))
                     place = place[start]
-                    edge = np.searchsorted(place, np.arange(fragments + 1, dtype=np.uint64) << np.uint64(KEY_BITS))
-                    key = place & np.uint64((1 << KEY_BITS) - 1)
+                    edge = np.searchsorted(place, np.arange(fragments + 1, dtype=np.uint64) << np.uint64(bits))
+                    key = place & np.uint64((1 << bits) - 1)
                     some = np.flatnonzero(np.diff(edge)).tolist()
                     yield pa.record_batch({
                         "part": pa.array(some, pa.int32()), "rank": pa.array([rank] * len(some), pa.int32()),
@@ -213,7 +217,7 @@ def _counted(texts: tk.Texts, answers: pa.Table, column: str, fragments: int) ->
         at = np.flatnonzero(rank == r)
         at = at[np.argsort(part[at])]
         known = np.concatenate([_unpack_counts(answers[column][k].as_py()) for k in at.tolist()])
-        place = _places(grams(token, first, r), fragments)
+        place = _places(grams(token, first, r), fragments, r)
         order = np.argsort(place)
         run = np.cumsum(np.append(False, place[order][1:] != place[order][:-1]))
         count = np.empty(len(place), np.int64)
@@ -256,25 +260,57 @@ def _evidence(fragments: int, tokens: int, types: int, docs: int):
     return run
 
 
-def learn(cell: np.ndarray, n: np.ndarray, types: int) -> np.ndarray:
-    """Weights (bucket, estimate) by expectation-maximisation; buckets without evidence share what all tokens say."""
-    p = [np.full(len(cell), 1 / (types + 1))]
-    rest = cell.copy()
+def _of_cells(cell: np.ndarray, types: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and estimates of each cell."""
+    p, rest = [np.full(len(cell), 1 / (types + 1))], cell.copy()
     for _ in range(ORDER):
         level = rest % 64
         p.insert(1, np.where(level > 0, 0.5 ** (level - 1.0), 0))
         rest //= 64
-    p, buckets = np.stack(p, 1), LEVELS ** (ORDER - 1)
+    return rest, np.stack(p, 1)
+
+
+def _expected(cell: np.ndarray, n: np.ndarray, types: int, weight: np.ndarray) -> np.ndarray:
+    """What of each bucket's tokens falls to each estimate."""
+    bucket, p = _of_cells(cell, types)
+    share = weight[bucket] * p
+    share *= (n / share.sum(1))[:, None]
+    return np.stack([np.bincount(bucket, share[:, k], len(weight)) for k in range(ORDER + 1)], 1)
+
+
+def learn(cell: np.ndarray, n: np.ndarray, types: int) -> np.ndarray:
+    """Weights (bucket, estimate) by expectation-maximisation; buckets without evidence share what all tokens say."""
+    return _maximised(lambda weight: _expected(cell, n, types, weight), len(cell) > 0)
+
+
+def learn_from(cells: DataFrame, types: int) -> np.ndarray:
+    """The same from a table (cell, n) of any size: each round sums within tasks, then over the tasks' few rows."""
+
+    def expected(weight: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros_like(weight)
+            for batch in batches:
+                total += _expected(np.asarray(batch.column("cell")), np.asarray(batch.column("n")).astype(float), types, weight)
+            some = np.flatnonzero(total.sum(1))
+            yield pa.record_batch({"bucket": pa.array(some)} | {f"w{k}": pa.array(total[some, k]) for k in range(ORDER + 1)})
+
+        columns = [f"w{k}" for k in range(ORDER + 1)]
+        rows = cells.mapInArrow(run, ", ".join(["bucket long", *(f"{c} double" for c in columns)])).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()  # a row for each bucket
+        out = np.zeros_like(weight)
+        out[rows["bucket"].to_numpy(np.int64)] = rows[columns].to_numpy(float)
+        return out
+
+    return _maximised(expected, not cells.isEmpty())
+
+
+def _maximised(expected: Callable[[np.ndarray], np.ndarray], evidence: bool) -> np.ndarray:
+    buckets = LEVELS ** (ORDER - 1)
     weight = np.full((buckets, ORDER + 1), 1 / (ORDER + 1))
-    seen = np.bincount(rest, n, buckets)
-    for _ in range(ROUNDS):
-        share = weight[rest] * p
-        share *= (n / share.sum(1))[:, None]
-        weight = np.stack([np.bincount(rest, share[:, k], buckets) for k in range(ORDER + 1)], 1)
+    for _ in range(ROUNDS if evidence else 0):
+        weight = expected(weight)
+        seen = weight.sum(1)
         prior = weight.sum(0) / max(weight.sum(), 1)
         weight = (weight + 5 * prior) / (seen + 5)[:, None]
-    if not len(cell):
-        weight = np.full((buckets, ORDER + 1), 1 / (ORDER + 1))
     weight = np.maximum(weight, LEAST_WEIGHT)
     bucket = np.arange(buckets)
     for k in range(1, ORDER):  # an estimate with an unseen context has no weight
@@ -315,8 +351,12 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     held = {r.fold: r.n for r in blocks.groupBy("fold").agg(F.sum(F.octet_length("ids") / 8).cast("long").alias("n")).collect()}
     n_train = held.get(TRAIN_FOLD, 0)
     dev = blocks.where(F.col("fold") == DEV_FOLD).groupBy("block").cogroup(answers.where("deleted is not null").groupBy("block"))
-    cells = dev.applyInArrow(_evidence(fragments, less_tokens, less_types, n_train), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    weight = learn(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(float), less_types)
+    cells = written(dev.applyInArrow(_evidence(fragments, less_tokens, less_types, n_train), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")), "cells")
+    if cells.count() > CELLS:
+        weight = learn_from(cells, less_types)
+    else:
+        few = cells.toPandas()
+        weight = learn(few["cell"].to_numpy(np.int64), few["n"].to_numpy(float), less_types)
     if not tokens:
         weight = np.eye(1, ORDER + 1).repeat(len(weight), 0)
     scored = blocks.groupBy("block").cogroup(answers.where("block >= 0").select("block", "part", "rank", "whole").groupBy("block"))

@@ -131,3 +131,15 @@ def test_codes_round_trip():
         assert lm._unpack_keys(lm._pack_keys(np.array(keys, np.uint64))).tolist() == keys
     counts = np.array([0, 1, 254, 255, 256, 1 << 31])
     assert lm._unpack_counts(lm._pack_counts(counts)).tolist() == counts.tolist()
+
+
+def test_weights_from_a_table_are_the_same(spark, monkeypatch):
+    """Evidence that is too large for the driver gives the same weights by aggregations."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plain = {r.doc_id: r.score for r in lm.lm_scores(docs).collect()}
+    monkeypatch.setattr(lm, "CELLS", 0)
+    monkeypatch.setattr(lm, "ROUNDS", 40)
+    other = {r.doc_id: r.score for r in lm.lm_scores(docs).collect()}
+    assert set(plain) == set(other) and all(abs(plain[d] - other[d]) < 1e-6 * max(1, abs(plain[d])) for d in plain)
+    empty = spark.createDataFrame([], "cell long, n long")
+    assert np.allclose(lm.learn_from(empty, 5), lm.learn(np.zeros(0, np.int64), np.zeros(0), 5))

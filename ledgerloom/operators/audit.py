@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.scratch import written
+
 
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("times")).where("times > 1")
@@ -53,14 +55,18 @@ def run_violations(runs: DataFrame, recomputed: DataFrame) -> DataFrame:
 
 
 def lineage_closure(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """All (ancestor, descendant) of edges (parent, child) up to `rounds` doublings of the distance."""
-    reach = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct()
-    n = reach.count()
+    """All (ancestor, descendant) of edges (parent, child) up to `rounds` doublings of the distance.
+
+    Each round joins only the pairs that the last one found, and is a table in
+    the shared folder, so the plan doesn't grow with the rounds.
+    """
+    reach = new = written(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct(), "lineage")
     for _ in range(rounds):
-        step = reach.join(reach.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("far")), "descendant").select("ancestor", F.col("far").alias("descendant"))
-        reach = reach.unionByName(step).distinct().checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else reach.unionByName(step).distinct()
-        more = reach.count()
-        if more == n:
+        ahead = reach.select(F.col("ancestor").alias("descendant"), F.col("descendant").alias("far"))
+        back = reach.select(F.col("ancestor").alias("first"), F.col("descendant").alias("ancestor"))
+        step = new.join(ahead, "descendant").select("ancestor", F.col("far").alias("descendant")).unionByName(back.join(new, "ancestor").select(F.col("first").alias("ancestor"), "descendant"))
+        new = written(step.distinct().join(reach, ["ancestor", "descendant"], "left_anti"), "lineage")
+        if new.isEmpty():
             break
-        n = more
+        reach = written(reach.unionByName(new), "lineage")
     return reach

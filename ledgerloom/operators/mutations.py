@@ -90,11 +90,18 @@ def backfilled(items: DataFrame, embeddings: DataFrame) -> DataFrame:
     return out.select(items.columns)
 
 
+def replayed_ids(commands: DataFrame) -> DataFrame:
+    """Ordered commands of each batch (batch, seq, kind, ids array, new_id) to result rows: batch, result (looked_up, created, updated), id, each once."""
+    looked = commands.where("kind = 'lookup'").select("batch", F.lit("looked_up").alias("result"), F.explode("ids").alias("id"))
+    made = commands.where("kind = 'merge'").select("batch", F.lit("created").alias("result"), F.col("new_id").alias("id"))
+    changed = commands.where("kind in ('merge', 'delete')").select("batch", F.lit("updated").alias("result"), F.explode("ids").alias("id"))
+    return looked.unionByName(made).unionByName(changed).distinct()
+
+
 def replayed(commands: DataFrame) -> DataFrame:
-    """Ordered commands of each batch (batch, seq, kind, ids array, new_id) to result ids: looked_up, created, updated, each distinct and sorted."""
-    pick = lambda kind, ids: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("kind") == kind, ids)))))
-    both = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("kind").isin("merge", "delete"), F.col("ids"))))))
-    return commands.groupBy("batch").agg(pick("lookup", F.col("ids")).alias("looked_up"), pick("merge", F.array("new_id")).alias("created"), both.alias("updated"))
+    """The same as one row of sorted lists per batch; a batch is what one decision holds."""
+    pick = lambda result: F.array_sort(F.collect_set(F.when(F.col("result") == result, F.col("id")))).alias(result)
+    return replayed_ids(commands).groupBy("batch").agg(*map(pick, ("looked_up", "created", "updated")))
 
 
 def next_generation(state: DataFrame, expected: int) -> DataFrame:

@@ -221,7 +221,7 @@ def opt_windows(spark: SparkSession, d: str) -> DataFrame:
     return metrics.schedule(examples(spark, d), 3, 42, 8).groupBy("kind", "window").agg(F.count("*").alias("n"), F.min("sequence_index").alias("first_index"))
 
 
-@query("schedule_fingerprint", "AU5 MS12")
+@query("schedule_fingerprint", "AU5")
 def schedule_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return metrics.schedule_fingerprint(metrics.schedule(examples(spark, d), 3, 42, 8))
 
@@ -258,7 +258,7 @@ def cell_interaction(spark: SparkSession, d: str) -> DataFrame:
     return metrics.interaction(cells, "1", "2", "3", "4").select(F.round("interaction", 6).alias("interaction"))
 
 
-@query("namespaces", "MS2 MS3", "SELECT DISTINCT source || CASE WHEN doc_id % 2 = 0 THEN '-debug' ELSE '' END AS namespace, source <> 'src1' AS cross_domain FROM documents")
+@query("namespaces", "MS2", "SELECT DISTINCT source || CASE WHEN doc_id % 2 = 0 THEN '-debug' ELSE '' END AS namespace, source <> 'src1' AS cross_domain FROM documents")
 def namespaces(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.concat("source", F.when(F.col("doc_id") % 2 == 0, "-debug").otherwise("")).alias("namespace"), (F.col("source") != "src1").alias("cross_domain")).distinct()
 

@@ -100,7 +100,7 @@ def observed_renders(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "refused_actions",
-    "PRJ18 HK3",
+    "PRJ18 MS9",
     """WITH a AS (SELECT event_id, event_type, CASE WHEN value < 20 THEN '{"name": "' || event_type || '", "arguments": {}}' WHEN value < 40 THEN '{"name": ' WHEN value < 60 THEN event_type || '(x=1' WHEN value < 80 THEN event_type || '(x=1)' ELSE event_type END AS action FROM events)
     SELECT event_id, CASE WHEN action = '{"name": ' THEN 'malformed_call' WHEN regexp_matches(action, '\\(x=1$') THEN 'malformed_call' WHEN event_type NOT IN ('view', 'click') AND (action[1] = '{' OR contains(action, '(')) THEN 'unknown_tool' END AS reason FROM a""",
 )
@@ -481,3 +481,118 @@ def repeated_scores(spark: SparkSession, d: str) -> DataFrame:
     twice = audit.duplicates(stored, ["memory_id"]).select(F.lit("duplicate_memory_score").alias("code"), F.col("memory_id").cast("string").alias("message"))
     other = audit.differing(computed.select("memory_id", F.round("value", 6).alias("value")), stored.select("memory_id", F.round("value", 6).alias("value")))
     return twice.unionByName(other.select(F.lit("attribution_recompute_mismatch").alias("code"), F.concat_ws(" ", "side", F.col("memory_id").cast("string")).alias("message")))
+
+
+@query(
+    "paged_rounds",
+    "ST5 TK7",
+    f"""WITH {ITEMS}, r AS (SELECT id, tier, row_number() OVER (PARTITION BY tier ORDER BY id) - 1 AS pos, count(*) OVER (PARTITION BY tier) AS n FROM items), k AS (SELECT unnest(range(0, 36)) AS k)
+    SELECT CAST(k // 12 + 1 AS INT) AS round, tier, id, CAST(k % 12 AS INT) AS position FROM r JOIN k ON k % n = pos WHERE n >= 12""",
+)
+def paged_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Three rounds of pages of twelve; each starts where the state table says that the last one ended."""
+    items = memory_items(spark, d).select("id", "tier")
+    items = items.join(items.groupBy("tier").count().where("count >= 12").drop("count"), "tier")
+    cursors, out = spark.createDataFrame([], "tier string, cursor long"), None
+    for round_ in (1, 2, 3):
+        page, cursors = neardup.next_pages(items, cursors, "tier", 12)
+        cursors = scratch.written(cursors, "cursors")
+        page = page.withColumn("round", F.lit(round_))
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
+@query("committed_log", "ST4", "WITH c AS (SELECT user_id, max(event_id) AS last FROM events WHERE event_type = 'purchase' GROUP BY user_id) SELECT event_id, event_type FROM events JOIN c USING (user_id) WHERE event_id <= last")
+def committed_log(spark: SparkSession, d: str) -> DataFrame:
+    from ledgerloom.streaming import ledger
+
+    events = table(spark, d, "events")
+    return ledger.committed_prefix(events, events.where("event_type = 'purchase'").select("user_id", "event_id"), "user_id", "event_id").select("event_id", "event_type")
+
+
+@query(
+    "write_faults",
+    "JN4 MUT1",
+    """WITH w AS (SELECT md5(text) AS id, min(doc_id) AS first, count(*) AS n, min(lang) AS lang, max(lang) AS other FROM documents WHERE text IS NOT NULL GROUP BY 1)
+    SELECT id, CASE WHEN n > 1 AND lang = 'en' THEN 'created_but_known' WHEN n = 1 AND lang <> 'en' THEN 'replayed_but_unknown' WHEN first % 50 = 0 THEN 'not_stored' WHEN lang <> other THEN 'content_differs' END AS error FROM w
+    WHERE (n > 1 AND lang = 'en') OR (n = 1 AND lang <> 'en') OR first % 50 = 0 OR lang <> other""",
+)
+def write_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as memories: repeated ones are in the earlier snapshot, English ones are said to be new."""
+    rows = table(spark, d, "documents").where("text is not null").groupBy(F.md5("text").alias("id")).agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("lang").alias("content"), F.max("lang").alias("other"))
+    written = rows.withColumn("disposition", F.when(F.col("content") == "en", "created").otherwise("replayed"))
+    return views.write_errors(written, rows.where("n > 1"), rows.where("first % 50 <> 0").select("id", F.col("other").alias("content")))
+
+
+@query(
+    "prefix_contents",
+    "JN2 EV7",
+    """WITH s AS (SELECT doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, source FROM documents), p AS (SELECT a.doc_id AS id, a.text AS content, substr(coalesce(b.text, a.text), 1, 320) AS shown FROM s a LEFT JOIN s b ON a.source = b.source AND b.k = a.k - 1)
+    SELECT id, coalesce(shown = content OR (length(shown) <= 320 AND starts_with(content, shown)), false) AS matches FROM p""",
+)
+def prefix_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Every text against the first characters of the one before it of its source."""
+    docs = table(spark, d, "documents")
+    before = F.expr("lag(text) over (partition by source order by doc_id)")
+    shown = docs.select(F.col("doc_id").alias("id"), F.substring(F.coalesce(before, F.col("text")), 1, 320).alias("shown"))
+    return views.prefix_matched(shown, docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+
+
+@query(
+    "event_dispositions",
+    "JN11",
+    """WITH p AS (SELECT DISTINCT user_id AS id FROM events), k AS (SELECT user_id AS id, bool_or(event_type = 'error' AND value > 80) AS d, bool_or(event_type = 'view' AND value > 80) AS r, bool_or(event_type = 'signup') AS c FROM events GROUP BY 1)
+    SELECT id, CASE WHEN d THEN 'discarded' WHEN r THEN 'replayed' WHEN c THEN 'created' ELSE 'proposed' END AS disposition FROM p JOIN k USING (id)""",
+)
+def event_dispositions(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").withColumnRenamed("user_id", "id")
+    return folding.disposition(events.select("id").distinct(), events.where("event_type = 'signup'"), events.where("event_type = 'view' and value > 80"), events.where("event_type = 'error' and value > 80"))
+
+
+@query(
+    "shown_memories",
+    "EX5",
+    """WITH c AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS said, list(DISTINCT role) AS roles, max(CASE WHEN turn = 1 THEN split_part(text, ' ', 1) END) AS word, max(CASE WHEN turn = 0 THEN text END) AS first FROM conversations GROUP BY conv_id)
+    SELECT conv_id AS example_id, unnest(list_filter([CASE WHEN len(roles) <> 2 THEN 'id_sets_differ' END, CASE WHEN word <> '' AND contains(first, word) THEN 'memory_text_public' END], lambda x: x IS NOT NULL)) AS error FROM c""",
+)
+def shown_memories(spark: SparkSession, d: str) -> DataFrame:
+    """The first turn is public, and the first word of the second is a memory's text."""
+    first = lambda t, c: F.max(F.when(F.col("turn") == t, c))
+    rows = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("example_id")).agg(
+        F.collect_set("role").alias("public_ids"), first(0, F.col("text")).alias("public_text"), F.array_compact(F.array(first(1, F.substring_index("text", " ", 1)))).alias("memory_texts"), F.lit(None).alias("unused"),
+    )
+    both = F.array(F.lit("assistant"), F.lit("user"))
+    equal = F.size("public_ids") == 2
+    return views.boundary_errors(rows.withColumn("privileged_ids", F.when(equal, F.col("public_ids")).otherwise(both)))
+
+
+
+@query(
+    "evidence_audit",
+    "AU1 AU2 EV7",
+    """WITH e AS (SELECT o_orderkey AS position, CASE WHEN o_orderstatus = 'P' THEN 'maintenance' ELSE 'episode' END AS kind, o_custkey::VARCHAR AS id, o_orderpriority AS run_id, o_custkey, 's' || (o_orderkey % 3) AS snapshot, md5(o_orderkey::VARCHAR) AS digest, o_totalprice FROM orders),
+    ep AS (SELECT * FROM e WHERE kind = 'episode'), m AS (SELECT * FROM e WHERE kind = 'maintenance'), tasks AS (SELECT DISTINCT o_custkey FROM e WHERE o_custkey < 50 AND run_id < '4'), train AS (SELECT c_custkey AS o_custkey FROM customer WHERE c_acctbal > 0),
+    r AS (SELECT id, CASE WHEN o_totalprice > 400 THEN digest ELSE 'x' END AS digest FROM e),
+    x AS (SELECT 'duplicate_episode_id' AS code, id AS message FROM ep GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'duplicate_maintenance_id', id FROM m GROUP BY id HAVING count(*) > 1
+    UNION ALL SELECT 'non_train_source', o_custkey::VARCHAR FROM ep WHERE o_custkey NOT IN (FROM train) OR o_custkey NOT IN (FROM tasks) UNION ALL SELECT 'evidence_lineage_mismatch', id FROM ep WHERE run_id <> '1-URGENT'
+    UNION ALL SELECT 'evidence_lineage_mismatch', o_custkey::VARCHAR FROM tasks WHERE o_custkey NOT IN (SELECT o_custkey FROM ep) UNION ALL SELECT 'evidence_lineage_mismatch', id FROM e WHERE run_id >= '4' UNION ALL SELECT 'evidence_lineage_mismatch', id FROM m WHERE snapshot = 's2'
+    UNION ALL SELECT 'evidence_lineage_mismatch', id FROM m WHERE o_custkey + 1 NOT IN (SELECT o_custkey FROM ep) UNION ALL SELECT 'source_evidence_mismatch', 'missing ' || id FROM (SELECT id, digest FROM r EXCEPT ALL SELECT id, digest FROM e) UNION ALL SELECT 'source_evidence_mismatch', 'unexpected ' || id FROM (SELECT id, digest FROM e EXCEPT ALL SELECT id, digest FROM r))
+    SELECT DISTINCT code, message FROM x""",
+)
+def evidence_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as evidence: customers are tasks and ids, priorities are runs and revisions, pending orders are maintenance."""
+    orders = table(spark, d, "orders")
+    task, pending = F.col("o_custkey").cast("string"), F.col("o_orderstatus") == "P"
+    blank = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], dataset.TABLES["evidence"]).schema}
+    own = {
+        "position": F.col("o_orderkey"), "kind": F.when(pending, "maintenance").otherwise("episode"), "id": task, "run_id": F.col("o_orderpriority"), "task_id": task, "task_group": F.lit("g"), "seed": F.lit(1), "final_reward": F.lit(1.0), "n_steps": F.lit(1),
+        "snapshot_id": F.when(pending, F.concat(F.lit("s"), (F.col("o_orderkey") % 3).cast("string"))), "round": F.when(pending, 1), "prior_ids": F.when(pending, F.array((F.col("o_custkey") + 1).cast("string"))), "digest": F.md5(F.col("o_orderkey").cast("string")), "model_revision": F.col("o_orderpriority"),
+    }
+    evidence = orders.select(*(own[c].alias(c) if c in own else blank[c] for c in blank))
+    train = table(spark, d, "customer").where("c_acctbal > 0").agg(F.collect_list(F.col("c_custkey").cast("string")).alias("train_task_ids"))  # the split of a benchmark is one list
+    manifest = train.select("train_task_ids", F.lit("1-URGENT").alias("model_revision"), F.array(F.lit("s0"), F.lit("s1")).alias("snapshot_chain"), F.lit(None).cast("array<string>").alias("maintenance_snapshot_ids"), *(F.lit(None).cast("string").alias(c) for c in dataset.LINEAGE if c != "model_revision"))
+    sources = orders.where("o_custkey < 50 and o_orderpriority < '4'").groupBy(F.col("o_orderpriority").alias("run_id")).agg(F.collect_set(task).alias("task_ids"))
+    rebuilt = orders.select(task.alias("id"), F.when(F.col("o_totalprice") > 400, F.md5(F.col("o_orderkey").cast("string"))).otherwise("x").alias("digest"))
+    empty = {t: spark.createDataFrame([], schema) for t, schema in dataset.TABLES.items()}
+    built = dataset.Dataset(**empty | {"evidence": evidence, "manifest": manifest, "sources": sources, "rebuilt": rebuilt})
+    return audit.errors(*dataset.evidence_checks(built)).select("code", "message").distinct()

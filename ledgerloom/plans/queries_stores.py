@@ -38,7 +38,7 @@ def store_faults(spark: SparkSession, d: str) -> DataFrame:
     return stores.store_faults(spark, path)
 
 
-@query("snapshot_roundtrip", "SNK4 SRC4 MS1 MS4", f"SELECT {ID} AS id, {TIER} AS tier, CASE WHEN vec_id % 11 = 0 THEN 'retired' ELSE 'active' END AS status FROM embeddings")
+@query("snapshot_roundtrip", "SNK4 SRC4 MS4", f"SELECT {ID} AS id, {TIER} AS tier, CASE WHEN vec_id % 11 = 0 THEN 'retired' ELSE 'active' END AS status FROM embeddings")
 def snapshot_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     root = scratch.shared_folder(spark, "snapshots")
     name = stores.publish_snapshot(stored_items(spark, d), root)

@@ -82,7 +82,7 @@ def final_actions(spark: SparkSession, d: str) -> DataFrame:
     return outputs(spark, d).select("conv_id", "turn", k.final_action(F.col("output")).alias("a")).select("conv_id", "turn", "a.action", "a.error")
 
 
-@query("structured_actions", "PRJ16 MS9", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS name, CASE WHEN event_id % 3 = 0 THEN props END AS arguments FROM events")
+@query("structured_actions", "PRJ16", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS name, CASE WHEN event_id % 3 = 0 THEN props END AS arguments FROM events")
 def structured_actions(spark: SparkSession, d: str) -> DataFrame:
     raw = F.expr("""CASE event_id % 3 WHEN 0 THEN concat('{"name": " ', event_type, ' ", "arguments": ', props, '}') WHEN 1 THEN concat('{"name": "", "arguments": ', props, '}') ELSE '{"name": "x", "arguments": 3}' END""")
     rows = table(spark, d, "events").select("event_id", "props", k.structured_action(raw).alias("a"))
@@ -149,7 +149,7 @@ def named_values(spark: SparkSession, d: str) -> DataFrame:
 ROW_HASH = """sha256('{"a":"é","props":{"k":' || json_extract_string(props, '$.k') || '},"z":1}')"""
 
 
-@query("row_hashes", "PRJ23 PRJ24 EX6", f"SELECT event_id, {ROW_HASH} AS row_sha256, 'opd_sel_' || substr({ROW_HASH}, 1, 24) AS example_id FROM events")
+@query("row_hashes", "PRJ23 PRJ24", f"SELECT event_id, {ROW_HASH} AS row_sha256, 'opd_sel_' || substr({ROW_HASH}, 1, 24) AS example_id FROM events")
 def row_hashes(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat(F.lit('{"z": 1, "props": '), "props", F.lit(', "a": "é"}'))
     digest = leakage.row_hash(raw)
@@ -165,7 +165,7 @@ def rendered_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "redacted_payloads",
-    "PRJ26 SNK6",
+    "PRJ26",
     """SELECT page_id, '{"inner":{"apiToken":"[REDACTED]","n":' || page_id || '},"url":"' || CASE WHEN regexp_matches(url, '^(?i:https?)://') AND (regexp_matches(url, '[?#].+') OR regexp_matches(url, '^[a-zA-Z]+://[^/?#]+@')) THEN '[REDACTED]' ELSE url END || '"}' AS payload FROM pages""",
 )
 def redacted_payloads(spark: SparkSession, d: str) -> DataFrame:
@@ -199,7 +199,7 @@ def text_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "payload_leaks",
-    "LK1 LK2 LK4 MS7",
+    "LK1 LK2 MS7",
     """SELECT event_id, '$.a.memoryValue' AS path, 'privileged_key' AS rule FROM events WHERE event_id % 4 = 0 UNION ALL SELECT event_id, '$.a.memoryValue', 'memory_key' FROM events WHERE event_id % 4 = 0
     UNION ALL SELECT event_id, '$.x[0].nl_assertions', 'evaluator_key' FROM events WHERE event_id % 4 = 1 UNION ALL SELECT event_id, '$.x[1].Last.Used-At', 'privileged_key' FROM events WHERE event_id % 4 = 1
     UNION ALL SELECT event_id, '$.text', 'memory_id' FROM events WHERE event_id % 4 = 2""",

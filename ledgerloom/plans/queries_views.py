@@ -113,7 +113,7 @@ SNAP = f"{OBS}, snap AS (SELECT DISTINCT memory_id AS id, version, tier, 'conten
 
 @query(
     "candidate_snapshot",
-    "JN1 EV6",
+    "JN1",
     f"""WITH {SNAP} SELECT episode_index, memory_id, sha256(content) AS content_sha256, CASE WHEN snap.id IS NULL THEN 'not_in_snapshot' WHEN ca.version <> snap.version THEN 'version_differs' WHEN ca.tier <> snap.tier THEN 'tier_differs' END AS error
     FROM ca LEFT JOIN snap ON ca.memory_id = snap.id""",
 )
@@ -124,14 +124,14 @@ def candidate_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return views.with_snapshot(rows, snap).select("episode_index", "memory_id", "content_sha256", "error")
 
 
-@query("prefix_matches", "JN2 EV7", "SELECT doc_id AS id, doc_id % 10 <> 3 AND (doc_id % 2 = 0 OR length(text) > 0) AS matches FROM documents")
+@query("prefix_matches", "JN2", "SELECT doc_id AS id, doc_id % 10 <> 3 AND (doc_id % 2 = 0 OR length(text) > 0) AS matches FROM documents")
 def prefix_matches(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     shown = F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("\u0001"), F.substring("text", 1, 100))).when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.substring("text", 1, 320))
     return views.prefix_matched(docs.select(F.col("doc_id").alias("id"), shown.alias("shown")), docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
 
 
-@query("selected_outside", "JN3 JN13", f"WITH {OBS}, c AS (SELECT DISTINCT episode_index % 50 AS e, memory_id FROM obs WHERE rank % 3 <> 0) SELECT DISTINCT episode_index % 50 AS e, memory_id FROM obs WHERE selected AND (episode_index % 50, memory_id) NOT IN (SELECT (e, memory_id) FROM c)")
+@query("selected_outside", "JN3", f"WITH {OBS}, c AS (SELECT DISTINCT episode_index % 50 AS e, memory_id FROM obs WHERE rank % 3 <> 0) SELECT DISTINCT episode_index % 50 AS e, memory_id FROM obs WHERE selected AND (episode_index % 50, memory_id) NOT IN (SELECT (e, memory_id) FROM c)")
 def selected_outside(spark: SparkSession, d: str) -> DataFrame:
     rows = observations(spark, d).withColumn("e", F.col("episode_index") % 50)
     return views.missing_from(rows.where("selected"), rows.where("rank % 3 <> 0"), ["e", "memory_id"])
@@ -199,7 +199,7 @@ def payload_violations(spark: SparkSession, d: str) -> DataFrame:
     return violations(rows, "doc_id")
 
 
-@query("review_violations", "MS6 MS5", f"WITH {ITEMS} SELECT id, CASE WHEN id >= 300 THEN 'not_shown' ELSE 'repeated' END AS rule FROM items WHERE id >= 300 OR id % 9 = 0")
+@query("review_violations", "MS6", f"WITH {ITEMS} SELECT id, CASE WHEN id >= 300 THEN 'not_shown' ELSE 'repeated' END AS rule FROM items WHERE id >= 300 OR id % 9 = 0")
 def review_violations(spark: SparkSession, d: str) -> DataFrame:
     from ledgerloom.operators.payloads import review_violations as check
 
@@ -225,7 +225,7 @@ def set_coverage(spark: SparkSession, d: str) -> DataFrame:
     return audit.set_coverage(actual, table(spark, d, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("k")), "k")
 
 
-@query("evidence_union", "SET1 EV8", "SELECT 'episode' AS kind, conv_id AS key, count(*) AS turns, -1 AS round FROM conversations GROUP BY conv_id UNION ALL SELECT 'maintenance', range, -1, range FROM range(20)")
+@query("evidence_union", "SET1", "SELECT 'episode' AS kind, conv_id AS key, count(*) AS turns, -1 AS round FROM conversations GROUP BY conv_id UNION ALL SELECT 'maintenance', range, -1, range FROM range(20)")
 def evidence_union(spark: SparkSession, d: str) -> DataFrame:
     episodes = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("key")).agg(F.count("*").alias("turns")).withColumn("kind", F.lit("episode"))
     rounds = spark.range(20).select(F.lit("maintenance").alias("kind"), F.col("id").alias("key"), F.col("id").alias("round"))

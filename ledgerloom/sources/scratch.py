@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -50,3 +50,10 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     target = jvm.org.apache.hadoop.fs.Path(path)
     names = (s.getPath().getName() for s in target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target))
     return sorted(n for n in names if n[0] not in "._")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage by a table in the shared folder: what reads it depends on no executor's disk."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

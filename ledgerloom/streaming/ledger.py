@@ -56,3 +56,9 @@ def committed_batches(events: DataFrame, fold: Callable[[DataFrame], DataFrame],
         scratch.rename(session, staging, final)
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def committed_prefix(log: DataFrame, committed: DataFrame, key: str, position: str) -> DataFrame:
+    """The rows of a log (key, position, ...) up to what is committed (key, position) of each key: what a restart may keep; keys without a commit lose all."""
+    last = committed.groupBy(key).agg(F.max(position).alias("last_"))
+    return log.join(last, key).where(F.col(position) <= F.col("last_")).drop("last_")

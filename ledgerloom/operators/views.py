@@ -133,8 +133,8 @@ def memory_histories(rounds: DataFrame, selections: DataFrame) -> DataFrame:
     width = 1 << 16
     steps = steps.withColumn("range", F.floor(F.col("position") / width))
     low = steps.groupBy("range").agg(F.min("mark").alias("own"))
-    later = low.withColumn("after", F.min("own").over(Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing))).select("range", "after")
-    ahead = F.min("mark").over(Window.partitionBy("range").orderBy("position").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    later = low.withColumn("after", F.min("own").over(Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1))).select("range", "after")
+    ahead = F.min("mark").over(Window.partitionBy("range").orderBy(F.desc("position")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     first = steps.withColumn("ahead", ahead).join(F.broadcast(later), "range").select("position", F.coalesce("ahead", "after").alias("round")).where("round is not null").distinct()
     counted = selections.join(first, "position").groupBy("memory_id", "round").agg(F.count("*").alias("n"), F.count_if(F.col("reward") == 1.0).alias("good"))
     so_far = Window.partitionBy("memory_id").orderBy("round")

@@ -102,3 +102,27 @@ def test_short_templates_have_no_blind_spot(spark):
         assert ((k, n) in found) == (matched >= licenses.LEAST_COVERAGE * len(words[n])), (n, text)
     rows = [(1, "Released under MIT License.", "en", "s", 1)]
     assert [(r.license, r.coverage) for r in licenses.license_scan(documents(spark, rows)).collect()] == [("MIT", 0.8)]
+
+
+def test_damaged_copies_have_the_coverage_of_the_best_alignment(spark):
+    """Copies of whole licenses with single words lost or replaced, end to end against a full local alignment."""
+    texts = {n: t for n, t in licenses.TEMPLATES if n in ("MIT-text", "BSD-3-Clause-text", "ISC-text")}
+    rng, rows = np.random.default_rng(8), []
+    for n, t in texts.items():
+        for share in (0.01, 0.04, 0.09, 0.3):
+            words = t.split()
+            for i in rng.choice(len(words), int(share * len(words)), replace=False).tolist():
+                words[i] = "" if rng.random() < 0.2 else f"changed{i}"
+            rows.append((len(rows), n, "before it all " + " ".join(w for w in words if w) + " and after"))
+    got = {(r.doc_id, r.license): r.coverage for r in licenses.license_scan(documents(spark, [(i, t, "en", "s", 1) for i, _, t in rows])).collect()}
+    found = 0
+    for i, n, t in rows:
+        model, _ = licenses._words(licenses.tk.texts_of(pa.array([texts[n]], pa.large_string())))
+        own, _ = licenses._words(licenses.tk.texts_of(pa.array([t], pa.large_string())))
+        _, matched = plain_local(model.tolist(), own.tolist())
+        if matched >= licenses.LEAST_COVERAGE * len(model):
+            assert abs(got[i, n] - matched / len(model)) < 1e-9, (n, i)
+            found += 1
+        else:
+            assert (i, n) not in got
+    assert 6 <= found < len(rows)

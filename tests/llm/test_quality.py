@@ -72,3 +72,43 @@ def test_stage_keeps_all_columns_and_empty_tables_work(spark, tmp_path):
 def test_threshold(trusted, least):
     got = quality.threshold(np.array([0.0, 1.0]), np.array(trusted))
     assert got == least
+
+
+def plain_grams(text):
+    raw = (text or "").encode()
+    out = []
+    for i in range(len(raw) - 3):
+        code = int.from_bytes(raw[i : i + 4], "little")
+        mixed = (code * 0x9E3779B1 ^ code >> 15) & 0xFFFFFFFF
+        out.append((mixed * 0x85EBCA77 & 0xFFFFFFFF) >> 16)
+    return out
+
+
+def test_ratio_threshold_and_verdict_match_a_plain_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    marks = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    trusted = {}
+    for r in marks.collect():
+        if r.doc_id is not None and r.quality is not None:
+            trusted[r.doc_id] = trusted.get(r.doc_id, True) and r.quality == 1
+    raw, target = np.full(1 << 16, 0.5), np.full(1 << 16, 0.5)
+    grams = {d: plain_grams(t) for d, t in rows.items()}
+    for d, own in grams.items():
+        for b in own:
+            raw[b] += 1
+            target[b] += trusted.get(d, False)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    llr = {d: float(np.mean(ratio[own])) if own else 0.0 for d, own in grams.items()}
+    seen = [(llr[d], t) for d, t in trusted.items() if d in llr]
+    good, bad = [s for s, t in seen if t], [s for s, t in seen if not t]
+    assert good and bad
+    at = sorted({s for s, _ in seen})
+    cuts = [at[0] - 1] + [(a + b) / 2 for a, b in zip(at, at[1:])]
+    gains = [sum(s < c for s in bad) / len(bad) - quality.TRUSTED_WEIGHT * sum(s < c for s in good) / len(good) for c in cuts]
+    gaps = [0.0] + [b - a for a, b in zip(at, at[1:])]
+    best = max((round(g, 11), w, -c) for g, w, c in zip(gains, gaps, cuts))
+    for r in quality.quality_rules(docs, marks).collect():
+        assert abs(r.llr - llr[r.doc_id]) < 1e-9
+        if abs(llr[r.doc_id] + best[2]) > 1e-9:
+            assert r.kept == (not r.base_failed and llr[r.doc_id] >= -best[2])

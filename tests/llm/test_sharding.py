@@ -64,3 +64,34 @@ def test_walks_match_a_key_by_key_ring():
 
 def test_empty(spark):
     assert sharding.shard(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("shards,virtual", [(5, 4), (16, sharding.VIRTUAL)])
+def test_placement_of_rows_matches_a_key_by_key_ring(spark, shards, virtual):
+    """Every row, not only the counts: arcs, order within an arc, overflow and slots, one key after the other."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    keyed = docs.select("doc_id", F.crc32(F.coalesce("text", F.lit(""))).alias("crc"), (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1).alias("size"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(sharding.SEED)).alias("key"))
+    rows = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "crc", "size"), F.lit(sharding.SALTS)).cast("int")).collect()
+    points = sharding.ring(shards, virtual)
+    arcs = [[] for _ in points]
+    for r in rows:
+        arcs[next((k for k, (p, _) in enumerate(points) if p >= r.key), 0)].append(r)
+    for own in arcs:
+        own.sort(key=lambda r: (r.salt, r.key, r.doc_id))
+    room, slot, want = sharding.bounds(len(rows), shards), [0] * shards, {}
+
+    def put(r, shard):
+        want[r.doc_id] = (shard, slot[shard])
+        room[shard], slot[shard] = room[shard] - 1, slot[shard] + 1
+
+    late = [[] for _ in points]
+    for arc, own in enumerate(arcs):
+        for r in own:
+            put(r, points[arc][1]) if room[points[arc][1]] else late[arc].append(r)
+    for arc, own in enumerate(late):
+        for r in own:
+            put(r, next(s for _, s in points[arc:] + points[:arc] if room[s]))
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shard(docs, shards, virtual).collect()}
+    assert got == want

@@ -222,3 +222,11 @@ def public_memory(rows: DataFrame) -> DataFrame:
 def public_step(rows: DataFrame) -> DataFrame:
     """What a prompt may show of a step."""
     return rows.select("episode_id", F.struct("turn", "observation", "action").alias("step"))
+
+
+def trajectory_view(episodes: DataFrame, steps: DataFrame, valuable: DataFrame) -> DataFrame:
+    """`act` with the whole solution: successful episodes (episode_id, reward), their steps (episode_id, turn, observation, action) in order, and the valuable memories."""
+    solution = steps.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("turn", "observation", "action"))).alias("trajectory"))  # an episode's turns are bounded
+    best = valuable.groupBy("episode_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "memory_id"))), lambda x: x["memory_id"]).alias("memories"))
+    out = episodes.where("reward = 1.0").join(solution, "episode_id").join(best, "episode_id", "left")
+    return out.select("episode_id", "trajectory", F.coalesce("memories", F.expr("cast(array() as array<bigint>)")).alias("memories"))

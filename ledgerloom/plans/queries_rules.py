@@ -596,3 +596,53 @@ def evidence_audit(spark: SparkSession, d: str) -> DataFrame:
     empty = {t: spark.createDataFrame([], schema) for t, schema in dataset.TABLES.items()}
     built = dataset.Dataset(**empty | {"evidence": evidence, "manifest": manifest, "sources": sources, "rebuilt": rebuilt})
     return audit.errors(*dataset.evidence_checks(built)).select("code", "message").distinct()
+
+
+@query("example_ids", "PRJ24", """SELECT conv_id, turn, 'opd_' || CASE WHEN role = 'user' THEN 'sel' ELSE 'act' END || '_' || substr(sha256('["' || CASE WHEN role = 'user' THEN 'sel' ELSE 'act' END || '","' || conv_id || '","' || turn || '"]'), 1, 24) AS example_id FROM conversations""")
+def example_ids(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("role") == "user", "sel").otherwise("act")
+    return table(spark, d, "conversations").select("conv_id", "turn", dataset.example_id(kind, F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("example_id"))
+
+
+@query(
+    "public_projections",
+    "PRJ25",
+    f"""WITH {ITEMS} SELECT 'memory' AS what, '{{"id":' || id || ',"tier":"' || tier || '","version":' || version || ',"status":"' || status || '","content":"' || content || '"}}' AS shown FROM items
+    UNION ALL SELECT 'candidate', '{{"memory_id":' || id || ',"tier":"' || tier || '","version":' || version || ',"content":"' || content || '","polarity":"' || polarity || '","rank":' || label || '}}' FROM items
+    UNION ALL SELECT 'step', '{{"turn":' || turn || ',"observation":' || length(text) || ',"action":"' || role || '"}}' FROM conversations""",
+)
+def public_projections(spark: SparkSession, d: str) -> DataFrame:
+    items = memory_items(spark, d)
+    steps = table(spark, d, "conversations").select(F.col("conv_id").alias("episode_id"), "turn", F.char_length("text").alias("observation"), F.col("role").alias("action"), "text")
+    shown = lambda rows, what: rows.select(F.lit(what).alias("what"), F.to_json(what).alias("shown"))
+    candidates = items.withColumnRenamed("id", "memory_id").withColumn("episode_id", F.lit(1)).withColumn("rank", F.col("label"))
+    return shown(views.public_memory(items), "memory").unionByName(shown(views.public_candidate(candidates), "candidate")).unionByName(shown(views.public_step(steps), "step"))
+
+
+@query(
+    "act_trajectories",
+    "EX2",
+    f"""WITH {VALUES}, cand AS (SELECT episode_index % 400 AS episode_id, memory_id, min(rank) AS rank, bool_or(selected) AS selected FROM obs GROUP BY ALL), ok AS (SELECT conv_id AS episode_id, string_agg(turn || '/' || length(text) || '/' || role, ',' ORDER BY turn) AS steps FROM conversations GROUP BY conv_id HAVING bool_or(role = 'assistant')),
+    b AS (SELECT episode_id, memory_id, row_number() OVER (PARTITION BY episode_id ORDER BY round(value, 9) DESC, rank, memory_id) AS place FROM cand JOIN v USING (memory_id) WHERE selected AND round(value, 9) >= 0.01)
+    SELECT ok.episode_id, steps, coalesce(string_agg(memory_id::VARCHAR, ',' ORDER BY place), '') AS memories FROM ok LEFT JOIN b ON b.episode_id = ok.episode_id AND place <= 20 GROUP BY ALL""",
+)
+def act_trajectories(spark: SparkSession, d: str) -> DataFrame:
+    """A conversation with an answer is a success; its turns are the solution."""
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("episode_id"), "turn", F.char_length("text").alias("observation"), F.col("role").alias("action"))
+    episodes = turns.groupBy("episode_id").agg(F.max((F.col("action") == "assistant").cast("double")).alias("reward"))
+    seen = observations(spark, d).groupBy((F.col("episode_index") % 400).alias("episode_id"), "memory_id").agg(F.min("rank").alias("rank"), F.max("selected").alias("selected"))
+    best = views.valuable_selected(seen.where("selected"), scores(spark, d).select("memory_id", F.round("value", 9).alias("value")))
+    out = views.trajectory_view(episodes, turns, best)
+    step = F.transform("trajectory", lambda s: F.concat_ws("/", s["turn"].cast("string"), s["observation"].cast("string"), s["action"]))
+    return out.select("episode_id", F.array_join(step, ",").alias("steps"), F.array_join("memories", ",").alias("memories"))
+
+
+@query("run_folders", "SRC5 SNK6 MS1", "SELECT 'r1' AS run, '[REDACTED]' AS token, count(*) AS episodes, min(o_orderkey) AS first FROM orders WHERE o_orderstatus = 'F'")
+def run_folders(spark: SparkSession, d: str) -> DataFrame:
+    """A run's record and episodes, written and read back; the folder must hold exactly these."""
+    path = stores.snapshot_path("r1", "retail", scratch.shared_folder(spark, "runs"))
+    stores.write_run_record(spark, '{"run":"r1","api_token":"x"}', f"{path}/run.json")
+    table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey").write.json(f"{path}/episodes.jsonl")
+    record, episodes = stores.read_run(spark, path, "run string, api_token string", "o_orderkey long")
+    facts = episodes.agg(F.count("*").alias("episodes"), F.min("o_orderkey").alias("first"))
+    return record.crossJoin(facts).select("run", F.col("api_token").alias("token"), "episodes", "first")  # one row each

@@ -148,3 +148,41 @@ def committed_batch(items: DataFrame, batch: DataFrame, faults: DataFrame) -> tu
     tiers = sorted(r.tier for r in batch.select("tier").distinct().collect())  # four at most
     kept = items.where(F.col("tier").isin(*tiers)).join(batch.select("id"), "id", "left_anti") if tiers else items.limit(0)
     return kept.select(items.columns).unionByName(batch.select(items.columns)), tiers
+
+
+def _once(merges: DataFrame) -> DataFrame:
+    """Merges (seq, new_id, id) without exact repeats: of equal results from equal sources the first counts."""
+    whole = merges.groupBy("seq", "new_id").agg(F.array_sort(F.collect_set("id")).alias("ids"))  # a merge's sources are bounded
+    first = whole.groupBy("new_id", "ids").agg(F.min("seq").alias("seq"))
+    return first.select("seq", "new_id", F.explode("ids").alias("id"))
+
+
+def merge_sequence_errors(items: DataFrame, merges: DataFrame) -> DataFrame:
+    """(seq, error) of merges (seq, new_id, id) in order, which is all or nothing: a source that isn't there yet or not active, or that an earlier merge used; a result that is there.
+
+    A merge may use what an earlier one made; one that only repeats an earlier one is a replay and no error.
+    """
+    once = _once(merges)
+    there = items.select("id", F.lit(-1).cast("long").alias("since"), (F.col("status") == "active").alias("usable"))
+    made = once.select(F.col("new_id").alias("id"), F.col("seq").cast("long").alias("since"), F.lit(True).alias("usable")).distinct()
+    found = there.unionByName(made).groupBy("id").agg(F.min(F.when(F.col("usable"), F.col("since"))).alias("since"))
+    used = once.groupBy("id").agg(F.min("seq").alias("user"))
+    joined = once.join(found, "id", "left").join(used, "id")
+    source = F.when(F.col("since").isNull() | (F.col("since") >= F.col("seq")), "source_not_active").when(F.col("user") < F.col("seq"), "source_used")
+    wrong = joined.select("seq", source.alias("error")).where("error is not null")
+    results = once.select("seq", "new_id").distinct().join(items.select(F.col("id").alias("new_id")), "new_id", "left_semi").select("seq", F.lit("result_exists").alias("error"))
+    return wrong.unionByName(results).distinct()
+
+
+def merged_sequence(items: DataFrame, merges: DataFrame) -> DataFrame:
+    """What merges without errors make: new_id, tier, source_task_ids (sorted union over all items it goes back to), merged_from, status (retired if a later merge used it)."""
+    from ledgerloom.operators.audit import lineage_closure
+
+    once = _once(merges)
+    reach = lineage_closure(once.select(F.col("id").alias("parent"), F.col("new_id").alias("child")))
+    roots = reach.join(items.select(F.col("id").alias("ancestor"), "tier", "source_task_ids"), "ancestor")
+    tasks = roots.select(F.col("descendant").alias("new_id"), "tier", F.explode("source_task_ids").alias("task")).groupBy("new_id").agg(F.min("tier").alias("tier"), F.array_sort(F.collect_set("task")).alias("source_task_ids"))
+    direct = once.groupBy("new_id").agg(F.array_sort(F.collect_set("id")).alias("merged_from"))
+    used = once.select(F.col("id").alias("new_id"), F.lit(True).alias("used")).distinct()
+    out = direct.join(tasks, "new_id", "left").join(used, "new_id", "left")
+    return out.select("new_id", "tier", "source_task_ids", "merged_from", F.when(F.col("used"), "retired").otherwise("active").alias("status"))

@@ -646,3 +646,45 @@ def run_folders(spark: SparkSession, d: str) -> DataFrame:
     record, episodes = stores.read_run(spark, path, "run string, api_token string", "o_orderkey long")
     facts = episodes.agg(F.count("*").alias("episodes"), F.min("o_orderkey").alias("first"))
     return record.crossJoin(facts).select("run", F.col("api_token").alias("token"), "episodes", "first")  # one row each
+
+
+MERGES = f"""{ITEMS}, one AS (SELECT CAST(label AS BIGINT) AS seq, 10000 + label AS new_id, id, label FROM items WHERE success_count = 0 AND status = 'active'), two AS (SELECT DISTINCT 100 + label // 2 AS seq, 20000 + label // 2 AS new_id, 10000 + label AS id, label FROM one)"""
+
+
+def merges(spark: SparkSession, d: str) -> DataFrame:
+    """Items of a label without a success are merged, then the results of two labels; the first step is sent twice."""
+    own = memory_items(spark, d).where("success_count = 0 and status = 'active'").select(F.col("label").cast("long").alias("seq"), (F.col("label") + 10000).cast("long").alias("new_id"), F.col("id").cast("long").alias("id"))
+    pair = F.floor(F.col("seq") / 2)
+    two = own.select((pair + 100).alias("seq"), (pair + 20000).alias("new_id"), F.col("new_id").alias("id")).distinct()
+    return own.unionByName(own.withColumn("seq", F.col("seq") + 50)).unionByName(two)
+
+
+@query(
+    "merge_sequence",
+    "MUT4 AG12",
+    f"""WITH {MERGES}, r AS (SELECT new_id, id % 5 AS task, tier FROM one JOIN items USING (id) UNION ALL SELECT two.new_id, one.id % 5, tier FROM two JOIN one ON two.id = one.new_id JOIN items ON items.id = one.id),
+    f AS (SELECT new_id, id FROM one UNION SELECT new_id, id FROM two) SELECT new_id, min(tier) AS tier, (SELECT string_agg(id::VARCHAR, ',' ORDER BY id) FROM f WHERE f.new_id = r.new_id) AS merged_from, string_agg(DISTINCT 'task-' || task, ',' ORDER BY 'task-' || task) AS tasks, CASE WHEN new_id < 20000 THEN 'retired' ELSE 'active' END AS status FROM r GROUP BY new_id""",
+)
+def merge_sequence(spark: SparkSession, d: str) -> DataFrame:
+    items = memory_items(spark, d).withColumn("id", F.col("id").cast("long")).withColumn("source_task_ids", F.array(F.concat(F.lit("task-"), (F.col("id") % 5).cast("string"))))
+    commands = merges(spark, d)
+    if not mutations.merge_sequence_errors(items, commands).isEmpty():
+        raise AssertionError("the merges are in order")
+    out = mutations.merged_sequence(items, commands)
+    return out.select("new_id", "tier", F.array_join("merged_from", ",").alias("merged_from"), F.array_join("source_task_ids", ",").alias("tasks"), "status")
+
+
+@query(
+    "merge_sequence_errors",
+    "MUT4 MUT5",
+    f"""WITH {ITEMS}, m AS (SELECT CAST(usage_count AS BIGINT) AS seq, 5000 + usage_count AS new_id, id FROM items UNION ALL SELECT 7 + success_count, CASE WHEN success_count = 0 THEN 3 ELSE 6000 + success_count END, id FROM items WHERE label = 0 UNION ALL SELECT 20, 7000, 5001 UNION ALL SELECT 0, 5000, 7000)
+    SELECT DISTINCT m.seq, CASE WHEN i.status = 'retired' OR (i.id IS NULL AND NOT (m.id BETWEEN 5000 AND 5006 AND m.seq > m.id - 5000)) THEN 'source_not_active' ELSE 'source_used' END AS error FROM m LEFT JOIN items i USING (id)
+    WHERE i.status = 'retired' OR m.id = 7000 OR (m.seq BETWEEN 7 AND 10) UNION SELECT 7, 'result_exists' FROM items WHERE label = 0 AND success_count = 0""",
+)
+def merge_sequence_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Merges by use, then of one label again, one into an item that is there, and one before its source is made."""
+    items = memory_items(spark, d).withColumn("id", F.col("id").cast("long"))
+    one = items.select(F.col("usage_count").cast("long").alias("seq"), (F.col("usage_count") + 5000).cast("long").alias("new_id"), "id")
+    again = items.where("label = 0").select((F.col("success_count") + 7).cast("long").alias("seq"), F.when(F.col("success_count") == 0, 3).otherwise(F.col("success_count") + 6000).cast("long").alias("new_id"), "id")
+    odd = spark.sql("SELECT cast(seq AS bigint) AS seq, cast(new_id AS bigint) AS new_id, cast(id AS bigint) AS id FROM VALUES (20, 7000, 5001), (0, 5000, 7000) AS t(seq, new_id, id)")
+    return mutations.merge_sequence_errors(items, one.unionByName(again).unionByName(odd))

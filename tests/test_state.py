@@ -122,3 +122,14 @@ def test_due_rounds(spark):
     completed = spark.createDataFrame([("n", 95), ("m", 29)], "namespace string, completed int")
     done = spark.createDataFrame([("n", 2)], "namespace string, round int")
     assert [(r.namespace, r.round) for r in folding.due_rounds(completed, done, 30).collect()] == [("n", 1), ("n", 3)]
+
+
+def test_merges_in_sequence_and_replayed(spark):
+    items = spark.createDataFrame([(1, "tip", "active", ["b"]), (2, "tip", "active", ["a"]), (3, "tip", "active", ["c", "a"]), (4, "tip", "retired", ["d"])], "id long, tier string, status string, source_task_ids array<string>")
+    merges = lambda rows: spark.createDataFrame(rows, "seq long, new_id long, id long")
+    good = merges([(1, 10, 1), (1, 10, 2), (2, 11, 10), (2, 11, 3), (3, 10, 2), (3, 10, 1)])
+    assert m.merge_sequence_errors(items, good).count() == 0
+    got = {r.new_id: (r.source_task_ids, r.merged_from, r.status) for r in m.merged_sequence(items, good).collect()}
+    assert got == {10: (["a", "b"], [1, 2], "retired"), 11: (["a", "b", "c"], [3, 10], "active")}
+    bad = merges([(1, 10, 1), (1, 10, 4), (2, 11, 1), (2, 11, 12), (3, 12, 2), (4, 3, 99)])
+    assert {tuple(r) for r in m.merge_sequence_errors(items, bad).collect()} == {(1, "source_not_active"), (2, "source_used"), (2, "source_not_active"), (4, "source_not_active"), (4, "result_exists")}

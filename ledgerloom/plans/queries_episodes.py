@@ -137,7 +137,8 @@ def selection_limits(spark: SparkSession, d: str) -> DataFrame:
 @query("due_rounds", "ST2", "WITH c AS (SELECT source AS namespace, count(*) AS completed FROM documents GROUP BY source) SELECT namespace, CAST(r AS INT) AS round FROM (SELECT namespace, unnest(range(1, completed // 15 + 1)) AS r FROM c) WHERE r % 2 = 0")
 def due_rounds(spark: SparkSession, d: str) -> DataFrame:
     completed = table(spark, d, "documents").groupBy(F.col("source").alias("namespace")).agg(F.count("*").alias("completed"))
-    done = completed.select("namespace", F.explode(F.sequence(F.lit(1), F.lit(999), F.lit(2))).alias("round"))
+    last = F.greatest(F.lit(1), F.floor(F.col("completed") / 15).cast("int"))
+    done = completed.select("namespace", F.explode(F.sequence(F.lit(1), last, F.lit(2))).alias("round"))
     return folding.due_rounds(completed, done, 15)
 
 

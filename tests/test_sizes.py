@@ -35,3 +35,11 @@ def test_merges_where_items_have_the_numbers_of_results(spark, same):
 @pytest.mark.parametrize("n", [3_000, 6_000, 7_010])
 def test_merge_errors_where_items_have_the_numbers_of_results(spark, same, n):
     same("merge_sequence_errors", embeddings=embeddings(spark, n))
+
+
+def documents(spark, n, sources):
+    return spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("src"), (F.col("id") % sources).cast("string")).alias("source"))
+
+
+def test_rounds_beyond_the_thousandth(spark, same):
+    same("due_rounds", documents=documents(spark, 2 * 15 * 1_010, 2).unionByName(spark.createDataFrame([(-1, "few")], "doc_id long, source string")))

@@ -17,23 +17,30 @@ def appended(spark: SparkSession, source: str, schema: str, target: str, checkpo
     return events.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def counted_rounds(spark: SparkSession, completed: DataFrame, control: str, period: int, run_round: Callable[[str, int], None], checkpoint: str) -> StreamingQuery:
+def counted_rounds(completed: DataFrame, control: str, period: int, run_rounds: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """Runs the rounds that are due after each batch of completed episodes (namespace): every round once, in order.
 
-    The control table holds a folder for each batch with its counts, and one for
-    each finished round, so that a repeated batch or a restart does nothing twice.
+    `run_rounds` gets the rounds (namespace, round) of one batch as a sorted table
+    and gives what they make, a row for each round or more; where rounds can only
+    run one after the other, it walks the table. Under the control folder lie each
+    batch's counts and, published at once under the batch's number, what its rounds
+    made: a failed batch leaves no trace, and a repeated batch or a restart does
+    nothing twice. The work is a few jobs for each batch, however many rounds are due.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         session = rows.sparkSession
+        final, staging = f"{control}/rounds/batch={number}", f"{control}/_staging-{number}"
+        if scratch.exists(session, final):
+            return
         rows.groupBy("namespace").agg(F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{control}/counts/batch={number}")
-        total = session.read.schema("namespace string, n long").parquet(f"{control}/counts").groupBy("namespace").agg(F.sum("n").alias("completed"))
-        for r in total.orderBy("namespace").collect():  # one row for each namespace
-            for due in range(1, r.completed // period + 1):
-                mark = f"{control}/rounds/{r.namespace}/{due}"
-                if not scratch.exists(session, mark):
-                    run_round(r.namespace, due)
-                    session.range(1).coalesce(1).write.mode("overwrite").parquet(mark)
+        counts = session.read.schema("namespace string, n long, batch long").parquet(f"{control}/counts").where(F.col("batch") <= number)
+        done = lambda n: F.floor(F.coalesce(F.sum(n), F.lit(0)) / period).cast("int")
+        totals = counts.groupBy("namespace").agg(done(F.when(F.col("batch") < number, F.col("n"))).alias("first"), done(F.col("n")).alias("last")).where("last > first")
+        due = totals.select("namespace", F.explode(F.sequence(F.col("first") + 1, F.col("last"))).alias("round")).orderBy("namespace", "round")
+        scratch.delete(session, staging)
+        run_rounds(due).write.parquet(staging)
+        scratch.rename(session, staging, final)
 
     return completed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

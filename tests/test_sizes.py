@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.plans import catalog
+from ledgerloom.sources import scratch
+from ledgerloom.streaming import ledger
 from tests.test_queries import normal
 
 
@@ -43,3 +45,36 @@ def documents(spark, n, sources):
 
 def test_rounds_beyond_the_thousandth(spark, same):
     same("due_rounds", documents=documents(spark, 2 * 15 * 1_010, 2).unionByName(spark.createDataFrame([(-1, "few")], "doc_id long, source string")))
+
+
+def test_stream_rounds_looks_at_no_single_round(spark, same, monkeypatch):
+    asked = []
+    there = scratch.exists
+    monkeypatch.setattr(scratch, "exists", lambda session, path: asked.append(path) or there(session, path))
+    same("stream_rounds", documents=documents(spark, 12 * 40, 2))  # 40 rounds in three batches
+    assert len(asked) < 20
+
+
+def test_failed_rounds_are_run_again_and_finished_ones_are_not(spark, tmp_path):
+    ran = []
+
+    def start(run):
+        rows = spark.readStream.schema("namespace string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        ledger.counted_rounds(rows, f"{tmp_path}/control", 5, run, f"{tmp_path}/progress").awaitTermination()
+        return sorted(tuple(r) for r in spark.read.schema("namespace string, round int").parquet(f"{tmp_path}/control/rounds").drop("batch").collect())
+
+    def run(due):
+        ran.append([tuple(r) for r in due.collect()])
+        return due
+
+    def failing(due):
+        raise ValueError("no round")
+
+    add = lambda a, b: spark.createDataFrame([("a",)] * a + [("b",)] * b, "namespace string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    add(11, 4)
+    assert start(run) == [("a", 1), ("a", 2)]
+    add(4, 6)
+    with pytest.raises(Exception, match="no round"):
+        start(failing)
+    assert start(run) == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2)]
+    assert start(run) and ran == [[("a", 1), ("a", 2)], [("a", 3), ("b", 1), ("b", 2)]]

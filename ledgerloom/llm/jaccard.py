@@ -244,9 +244,21 @@ def _gather(group: pa.Table) -> pa.Table:
     return pa.table({"kind": whole("kind", pa.int32()), "doc_id": whole("doc_id", pa.int64()), "class": whole("class", pa.int64()), "n": whole("n", pa.int32()), "m": whole("m", pa.int32()), "prefix": lists(prefix, prefix_values), "codes": lists(codes, code_values)})
 
 
+#: Up to so many names of classes go to every task, so that only their sets are moved.
+FEW = 500_000
+
+
+def _named(sets: DataFrame, names: DataFrame) -> DataFrame:
+    """The sets of the classes that a written table names, told apart before any set is moved; all sets where it names too many for that."""
+    if names.count() > FEW:
+        return sets
+    return sets.join(F.broadcast(names), "class", "left_semi")
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) whose overlap, summed over the vertical fragments, is enough."""
-    pieces = sets.select("class", F.explode(F.sequence(F.lit(0), F.lit(OVERLAP_FRAGMENTS - 1))).alias("v"), "codes")
+    """Pairs (a, b, na, nb), a written table, whose overlap, summed over the vertical fragments, is enough."""
+    own = _named(sets, pairs.select(F.explode(F.array("a", "b")).alias("class")))
+    pieces = own.select("class", F.explode(F.sequence(F.lit(0), F.lit(OVERLAP_FRAGMENTS - 1))).alias("v"), "codes")
     pieces = pieces.select("class", "v", F.expr(f"filter(codes, c -> pmod(shiftright(c, 32), {OVERLAP_FRAGMENTS}) = v)").alias("own")).where("size(own) > 0")
     one = pairs.join(pieces.withColumnRenamed("class", "b"), "b")
     two = one.withColumnRenamed("own", "left").join(pieces.withColumnRenamed("class", "a"), ["a", "v"])
@@ -268,7 +280,7 @@ def _side(lists: DataFrame, x: str, *more: str) -> DataFrame:
 
 
 def _by_difference(clusters: DataFrame, sets: DataFrame) -> DataFrame:
-    """Lists of the classes of each cluster (leader, class) by what tells them from the leader's set.
+    """Lists of the classes of each cluster (leader, class; a written table) by what tells them from the leader's set.
 
     Sets that link differ in at most (100 - PERCENT) / (100 + PERCENT) of their
     sizes. What x and y both have or both lack, seen from the leader, is no
@@ -277,9 +289,9 @@ def _by_difference(clusters: DataFrame, sets: DataFrame) -> DataFrame:
     being linked to the leader has a common element among the first
     n (100 - PERCENT) / PERCENT + 1 differences of y, rarest first.
     """
-    leaders = sets.select(F.col("class").alias("leader"), F.col("codes").alias("core"), F.col("n").alias("nl"), F.col("m").alias("ml"))
+    leaders = _named(sets, clusters.select(F.col("leader").alias("class")).distinct()).select(F.col("class").alias("leader"), F.col("codes").alias("core"), F.col("n").alias("nl"), F.col("m").alias("ml"))
     most = F.floor(F.col("n") * (100 - PERCENT) / PERCENT)
-    both = clusters.join(sets.select("class", "n", "m", "codes"), "class").join(leaders, "leader")
+    both = clusters.join(_named(sets, clusters.select("class")).select("class", "n", "m", "codes"), "class").join(leaders, "leader")
     extra, missing = F.array_except("codes", "core"), F.array_except("core", "codes")
     told = both.select("leader", "class", "n", "m", (F.size(extra) + F.size(missing) + F.col("n") - F.col("m") + F.col("nl") - F.col("ml")).alias("s"), F.concat(extra, missing).alias("d"))
     rows = written(told.select("leader", "class", "n", "m", "s", F.explode("d").alias("d")), "differences")
@@ -324,15 +336,16 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = rest.where(F.col("times") <= SHORT) if indexed else rest
         across = _side(pairs, "a", "label").join(_side(pairs, "b", "label"), "code").where(f"labela < labelb and {_ABLE}").select("a", "b", "na", "nb").distinct()
         across = written(_new(across, None, tested), "pairs")
-        tested = tested.unionByName(across.select("a", "b"))
-        found = written(_overlaps(across, sets), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links).withColumnRenamed("node", "class")
+        if not across.isEmpty():
+            tested = tested.unionByName(across.select("a", "b"))
+            found = written(_overlaps(across, sets), "links")
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                labels = components(links).withColumnRenamed("node", "class")
         if not indexed:
             return members, labels
         clusters = rest.where(F.col("times") > SHORT).select("leader", "class").where("leader <> class").distinct()
-        lists = written(_by_difference(clusters, sets), "lists")
+        lists = written(_by_difference(written(clusters, "clusters"), sets), "lists")
 
 
 def _new(pairs: DataFrame, labels: DataFrame | None, tested: DataFrame) -> DataFrame:

@@ -248,19 +248,21 @@ def _gather(group: pa.Table) -> pa.Table:
 FEW = 500_000
 
 
-def _named(sets: DataFrame, names: DataFrame) -> DataFrame:
-    """The sets of the classes that a written table names, told apart before any set is moved; all sets where it names too many for that."""
-    if names.count() > FEW:
+def _named(sets: DataFrame, names: DataFrame, count: int | None = None) -> DataFrame:
+    """The sets of the classes that a written table names (so often), told apart before any set is moved; all sets where it names too many for that."""
+    if (names.count() if count is None else count) > FEW:
         return sets
     return sets.join(F.broadcast(names), "class", "left_semi")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b, na, nb), a written table, whose overlap, summed over the vertical fragments, is enough."""
-    own = _named(sets, pairs.select(F.explode(F.array("a", "b")).alias("class")))
+    count = 2 * pairs.count()
+    own = _named(sets, pairs.select(F.explode(F.array("a", "b")).alias("class")), count)
     pieces = own.select("class", F.explode(F.sequence(F.lit(0), F.lit(OVERLAP_FRAGMENTS - 1))).alias("v"), "codes")
     pieces = pieces.select("class", "v", F.expr(f"filter(codes, c -> pmod(shiftright(c, 32), {OVERLAP_FRAGMENTS}) = v)").alias("own")).where("size(own) > 0")
-    one = pairs.join(pieces.withColumnRenamed("class", "b"), "b")
+    # few pairs go to the sets, which then move once less
+    one = (F.broadcast(pairs) if count <= FEW else pairs).join(pieces.withColumnRenamed("class", "b"), "b")
     two = one.withColumnRenamed("own", "left").join(pieces.withColumnRenamed("class", "a"), ["a", "v"])
     partial = two.select("a", "b", "na", "nb", F.size(F.array_intersect("left", "own")).cast("long").alias("partial"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("overlap"))
@@ -318,7 +320,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rank = F.struct((F.col("m") / F.col("n") if work is None else -F.col("s") / F.col("n")).alias("near"), F.col("class"), F.col("n"), F.col("s"), F.col("p"))
         leaders = lists.groupBy("code").agg(F.max(rank).alias("leader"), F.count("*").alias("times")).where("times > 1")
         star = leaders.select("code", *(F.col(f"leader.{c}").alias(d) for c, d in (("class", "a"), ("n", "na"), ("s", "sa"), ("p", "pa")))).join(_side(lists, "b"), "code")
-        star = star.where(f"a <> b and {_ABLE}").select("a", "b", "na", "nb").distinct()
+        star = star.where(f"a <> b and {_ABLE}").select("a", "b", "na", "nb").dropDuplicates(["a", "b"])
         if tested is not None:
             star = _new(star, labels, tested)
         star = written(star, "pairs")
@@ -334,7 +336,7 @@ def join(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # not where comparing within the lists is in proportion to the postings, or one more index would not tell texts apart
         indexed = work > SHORT * postings and (before is None or 2 * work <= before)
         pairs = rest.where(F.col("times") <= SHORT) if indexed else rest
-        across = _side(pairs, "a", "label").join(_side(pairs, "b", "label"), "code").where(f"labela < labelb and {_ABLE}").select("a", "b", "na", "nb").distinct()
+        across = _side(pairs, "a", "label").join(_side(pairs, "b", "label"), "code").where(f"labela < labelb and {_ABLE}").select("a", "b", "na", "nb").dropDuplicates(["a", "b"])
         across = written(_new(across, None, tested), "pairs")
         if not across.isEmpty():
             tested = tested.unionByName(across.select("a", "b"))
